@@ -1,0 +1,21 @@
+"""Broadcast only what has been measured."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from riskframe.limits import BROADCAST_BYTES, BROADCAST_ROWS
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when the whole of ``df`` is within both bounds; reads at most ``max_rows + 1`` rows."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(8)) for c in df.columns), F.lit(0))
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes
+
+
+def small_side(df: DataFrame, **bounds: int) -> DataFrame:
+    """``df`` with a broadcast hint if it is proven small, otherwise unchanged: the join
+    is then shuffled, where AQE splits skewed partitions."""
+    return F.broadcast(df) if is_small(df, **bounds) else df
