@@ -20,7 +20,7 @@ KB_CHUNK = (
 )
 MEASURE_STRUCT = "STRUCT<code: STRING, title: STRING, responsible: STRING, due: STRING>"
 FINDING = (
-    "report_id STRING, scene_ix INT, finding_ix INT, scene_number STRING, risk_level STRING, category STRING, "
+    "report_id STRING, scene_ix INT, finding_ix BIGINT, scene_number STRING, risk_level STRING, category STRING, "
     "risk_class STRING, rule_id STRING, likelihood INT, impact INT, description STRING, recommendation STRING, "
     f"measures ARRAY<{MEASURE_STRUCT}>, confidence DOUBLE, line_reference STRING, evidence STRING, "
     "vulnerability STRING, complexity STRING, exposure_duration STRING"
