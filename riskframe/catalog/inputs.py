@@ -15,13 +15,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """More partitions where the input has fewer than the cluster has cores (one small file);
-    never on large inputs."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def strip_sql(expr: str) -> str:
     return f"trim({expr}, '{WS_CHARS}')"
 
@@ -39,7 +32,7 @@ _TIMES = (" - DAY", " - NIGHT", " – TAG", " - Abend", "", " - CO-OP - LATER",
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
+    return table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
 
 
 def scripts_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -217,7 +210,7 @@ measure_applies AS (
 def raw_findings(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as findings of the report of their order; scores also out of range,
     some classes and codes unknown, some fields blank."""
-    li = spread(table(spark, folder, "lineitem"))
+    li = table(spark, folder, "lineitem")
     n = table(spark, folder, "nation").select("n_nationkey", "n_name")
     c = F.col
     class_no = (c("l_partkey") % 28).cast("int")

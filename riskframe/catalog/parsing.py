@@ -213,8 +213,8 @@ scenes AS (
     string_agg(CASE WHEN filled OR type = 'Scene Heading' THEN text END, chr(10) ORDER BY pos) AS text,
     count(*) FILTER (emitted) AS n_dialogue
   FROM attributed GROUP BY script_id, scene_ix),
-seen AS (SELECT script_id, scene_ix, text AS name, min(pos) AS at FROM attributed WHERE filled AND type = 'Character' GROUP BY ALL),
-cast_ AS (SELECT script_id, scene_ix, string_agg(name, ',' ORDER BY at) AS characters, count(*) AS n FROM seen GROUP BY ALL)"""
+seen AS (SELECT script_id, scene_ix, text AS name, min(pos) AS first_pos FROM attributed WHERE filled AND type = 'Character' GROUP BY ALL),
+cast_ AS (SELECT script_id, scene_ix, string_agg(name, ',' ORDER BY first_pos) AS characters, count(*) AS n FROM seen GROUP BY ALL)"""
 
 
 @query(
