@@ -1,15 +1,20 @@
 """The operators' queries and, where SQL can say the same, their SQL."""
 
-from riskframe.llm import decontaminate, mixing, pseudonyms, quality, simhash
+from riskframe.llm import decontaminate, htmltext, mixing, pseudonyms, quality, secrets, simhash, substrings, urlrules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op2_substrings": substrings.query,
+    "op3_htmltext": htmltext.query,
+    "op4_secrets": secrets.query,
     "op5_pseudonyms": pseudonyms.query,
+    "op6_urlrules": urlrules.query,
     "op7_mix": mixing.query,
     "op8_simhash": simhash.query,
     "op9_quality": quality.query,
 }
 ORACLE = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op2_substrings": substrings.ORACLE,
     "op7_mix": mixing.ORACLE,
 }
