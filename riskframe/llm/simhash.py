@@ -126,14 +126,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component, for all nodes that have a link."""
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     sign = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    either = lambda x, y, df: df.select(F.explode(F.array(x, y)).alias("e")).select("e.*")
     before = sign(edges)
     while before[0]:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = either(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")), edges)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.union(lowest.select("u", F.col("m").alias("v"))).distinct())
+        both = either(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")), large.join(lowest, "u"))
+        edges = cut(both.where("u <> v").distinct())
         after = sign(edges)
         if after == before:
             break
@@ -145,7 +146,7 @@ def classes(rows: DataFrame) -> DataFrame:
     """(f, root, component_id) for each different ``fp`` of rows (id, fp); root is a fingerprint of the component."""
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     linked = components(links(distinct))
-    roots = linked.select("node", "root").union(linked.select("root", "root").distinct())
+    roots = linked.select(F.explode(F.array("node", "root")).alias("node"), "root").distinct()
     lowest = roots.join(distinct, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("lowest"))
     found = roots.join(lowest, "root").select("node", "root", "lowest")
     both = distinct.join(found, F.col("fp") == F.col("node"), "left")
