@@ -25,7 +25,7 @@ from riskframe.llm.frames import column_index, cut, numbered, pick, table, with_
 WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
 #: About so many documents of a source are in one range.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 5_000
 #: The table of cuts has one row for each source; it is broadcast up to so many sources, and joined by a shuffle beyond.
 BROADCAST_SOURCES = 100_000
 _KEY_DIGITS = 13
