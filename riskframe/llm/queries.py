@@ -1,6 +1,6 @@
 """The operators' queries and, where SQL can say the same, their SQL."""
 
-from riskframe.llm import decontaminate, htmltext, mixing, pseudonyms, quality, secrets, simhash, substrings, urlrules
+from riskframe.llm import decontaminate, htmltext, lm, mixing, pseudonyms, quality, secrets, simhash, substrings, urlrules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_mix": mixing.query,
     "op8_simhash": simhash.query,
     "op9_quality": quality.query,
+    "op10_lm": lm.query,
 }
 ORACLE = {
     "op1_decontaminate": decontaminate.ORACLE,
