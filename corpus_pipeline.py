@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from riskframe.llm import decontaminate, mixing, pseudonyms, quality, simhash
 from riskframe.llm.frames import shared_folder, table, through_table
@@ -19,7 +18,7 @@ from riskframe.llm.frames import shared_folder, table, through_table
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the learned decision list rejects go."""
     rules = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, rules).where("kept").select(*docs.columns)
+    return quality.keep_good(docs, rules)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms; n_chars follows the new text."""
-    return pseudonyms.pseudonymise(docs, counts=False).withColumn("n_chars", F.char_length("text").cast("long"))
+    return pseudonyms.pseudonymise(docs, counts=False, length="n_chars")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

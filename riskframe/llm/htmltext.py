@@ -237,11 +237,14 @@ def label(page: Page, document: str) -> np.ndarray | None:
         if len(text) >= 25:
             sure.setdefault(page.parent[node], []).append(float(text in inside) * len(text))
             sure[page.parent[node]].append(-float(text not in inside) * len(text))
-    if not any(sum(v) > 0 for v in sure.values()):
+    short = not any(sum(v) > 0 for v in sure.values())
+    part = _least_part(page, blocks, inside) if short else frozenset()
+    if short and not part:
         return None
     for node, text in blocks:  # short texts may stand anywhere; they go with what stands around them
         known = sure.get(page.parent[node]) or sure.get(node)
-        good[node] += len(text) * (text in inside if len(text) >= 25 else bool(known) and sum(known) > 0 and text in inside)
+        alike = node in part if short else text in inside and (len(text) >= 25 or bool(known) and sum(known) > 0)
+        good[node] += len(text) * alike
         size[node] += len(text)
     for i in range(n - 1, 0, -1):
         good[page.parent[i]] += good[i]
@@ -249,6 +252,29 @@ def label(page: Page, document: str) -> np.ndarray | None:
     return np.where(size > 0, (good > 0.5 * size).astype(int), -1)
 
 
+def _least_part(page: Page, blocks: list[tuple[int, str]], inside: str) -> frozenset[int]:
+    """The nodes of the smallest subtree that has a short document whole; none if it is nowhere."""
+    n = len(page.tag)
+    below: list[list[str]] = [[] for _ in range(n)]
+    for node, text in blocks:
+        at = node
+        while at >= 0:
+            below[at].append(text)
+            at = page.parent[at]
+    sizes = {i: len(joined) for i in range(n) if inside and inside in (joined := " ".join(below[i]))}
+    if not sizes:
+        return frozenset()
+    top = min(sizes, key=lambda i: (sizes[i], -i))
+    kept = {top}
+    for i in range(top + 1, n):
+        if page.parent[i] in kept:
+            kept.add(i)
+    # a heading that says the document's beginning again belongs to it
+    if page.parent[top] > 0 and sizes.get(page.parent[top], 1 << 60) <= 3 * sizes[top] + 20:
+        return frozenset(i for i in range(n) if i in kept or page.parent[i] == page.parent[top])
+    return frozenset(kept)
+
+
 #: Other layouts: what may stand around the main text, as (tag, attribute). The first of each list is written around the text.
 _AROUND = (
     ("main", ""), ("div", 'class="content"'), ("div", 'id="main-content"'), ("section", 'class="post entry"'), ("div", 'class="article-body"'), ("article", ""),
@@ -264,8 +290,8 @@ _BESIDE = (
 _AFTER = 12  # from here on in _BESIDE a part mostly stands below the text
 
 
-def reset(main: list[str], rest: list[str], turn: int) -> tuple[str, list[bool]]:
-    """A page with the same main blocks in another layout, chosen by ``turn``, and whether each block of text is main."""
+def reset(main: list[str], rest: list[str], turn: int) -> str:
+    """A page with the same main blocks in another layout, chosen by ``turn``."""
     rng = np.random.default_rng(turn)
     quote = lambda s: entities.escape(s, quote=False)
     rest = rest or ["menu"]
@@ -290,7 +316,20 @@ def reset(main: list[str], rest: list[str], turn: int) -> tuple[str, list[bool]]
     text = f"<{tag} {attribute}>{head}{body}</{tag}>"
     text = f"<table><tr>{text}</tr></table>" if tag == "td" else text
     text = f'<div class="wrapper">{text}{low.pop(0)}</div>' if rng.random() < 0.4 else text
-    return f"<html><body>{''.join(top)}{text}{''.join(low)}</body></html>", tag != ""
+    return f"<html><body>{''.join(top)}{text}{''.join(low)}</body></html>"
+
+
+def _brief(page: Page, y: np.ndarray, turn: int) -> Page:
+    """The same page with a main text of a few words only."""
+    out = Page("")
+    out.parent, out.tag, out.names = page.parent, page.tag, page.names
+    left = [2 + turn % 7] * (1 + turn % 3)
+    for node, text, linked in page.pieces:
+        if y[node] != 1:
+            out.pieces.append((node, text, linked))
+        elif left and text.strip():
+            out.pieces.append((node, " ".join(text.split()[: left.pop()]), linked))
+    return out
 
 
 def fit(rows: list[tuple[str, str]], layouts: int = 3) -> boosting.Trees:
@@ -302,12 +341,16 @@ def fit(rows: list[tuple[str, str]], layouts: int = 3) -> boosting.Trees:
         if y is None:
             continue
         xs.append(features(page)[y >= 0]), ys.append(y[y >= 0])
+        brief = _brief(page, y, number)
+        y1 = np.where(_has_text(brief), y, -1)
+        xs.append(features(brief)[y1 >= 0]), ys.append(y1[y1 >= 0])
         main = [t for node, t in page.blocks() if y[node] == 1]
         rest = [t for node, t in page.blocks() if y[node] == 0]
         if not main:
             continue
         for k in range(layouts):
-            other = Page(reset(main, rest, layouts * number + k)[0])
+            words = main[0].split()[: 2 + number % 7] if k == layouts - 1 else []
+            other = Page(reset([" ".join(words)] * 2 if words else main, rest, layouts * number + k))
             y2 = _labels_of_layout(other, main)
             xs.append(features(other)[y2 >= 0]), ys.append(y2[y2 >= 0])
     return boosting.fit(np.concatenate(xs), np.concatenate(ys).astype(float), rounds=50, depth=4)

@@ -216,8 +216,10 @@ def replaced(text: Column, kind: Column, key: str) -> Column:
     return out.when(kind == "card", _new_card(text, key)).when(kind == "iban", _new_iban(text, key)).when(kind == "phone", _new_phone(text, key)).otherwise(text)
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, counts: bool = True) -> DataFrame:
-    """docs with personal data replaced in the text, and (on demand) pii_found, a count of each kind found."""
+def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, counts: bool = True, length: str | None = None) -> DataFrame:
+    """docs with personal data replaced in the text, and (on demand) pii_found, a count of each kind found.
+
+    ``length`` names a column that holds the text's code points, which then follows the new text."""
     df, names = numbered(docs)
     body = f"c{column_index(docs, text)}"
     value = F.col(body).cast("string")
@@ -227,6 +229,8 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, counts: bo
     gaps = F.split(value, CANDIDATE, -1)
     whole = F.zip_with(gaps, F.col("found"), lambda g, m: F.concat(g, F.coalesce(m["now"], F.lit(""))))
     df = df.withColumn(body, F.when(F.exists("found", lambda m: m["kind"].isNotNull()), F.array_join(whole, "")).otherwise(value))
+    if length is not None:
+        df = df.withColumn(f"c{column_index(docs, length)}", F.char_length(body).cast("long"))
     if not counts:
         return df.drop("found").toDF(*names)
     per_kind = F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*[F.size(F.filter("found", lambda m: m["kind"] == k)).cast("long") for k in KINDS]))  # noqa: B023

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.llm.frames import column_index, numbered, pick, with_results
+from riskframe.llm.frames import column_index, numbered, pick, table, with_results
 from riskframe.llm.words import U64, code_points, mix, read_words, slices, window_hashes
 
 #: Most labelled rows that the rules are learned from, chosen by a hash of the id.
@@ -227,9 +227,13 @@ def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     return with_results(seen, names, [*_COUNTS, "base_failed", "kept"])
 
 
-def query(spark, sf_dir: str) -> DataFrame:
-    from riskframe.llm.frames import table
+def keep_good(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """docs without those that the base rule or the decision list rejects."""
+    inner, names = numbered(docs)
+    return judge(inner, rules, f"c{column_index(docs, text)}").where("kept").select(*inner.columns).toDF(*names)
 
+
+def query(spark, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     rules = learn(docs, table(spark, sf_dir, "labels"))
     return judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
