@@ -218,7 +218,7 @@ def raw_findings(spark: SparkSession, folder: str) -> DataFrame:
     other = F.concat(F.lit("supplier#"), F.lpad((c("l_suppkey") % 7 + 1).cast("string"), 9, "0"))
     return (
         li.withColumn("_class", class_no)
-        .join(F.broadcast(n), c("_class") == c("n_nationkey"), "left")  # 25 nations
+        .join(n, c("_class") == c("n_nationkey"), "left")
         .select(
             c("l_orderkey").cast("string").alias("report_id"),
             c("l_linenumber").alias("scene_ix"),
@@ -258,5 +258,3 @@ RAW_FINDINGS = """raw_findings AS (
       WHEN 1 THEN ['nothing'] WHEN 2 THEN ['supplier#' || lpad(CAST(l_suppkey % 7 + 1 AS VARCHAR), 9, '0')] END AS measure_codes,
     CASE WHEN l_linestatus = 'O' THEN 'open' END AS evidence
   FROM lineitem LEFT JOIN nation ON n_nationkey = l_partkey % 28)"""
-
-FINDING_KEY = ["report_id", "scene_ix", "finding_ix"]

@@ -56,6 +56,27 @@ assembled AS (
 
 @query(
     "a3_assembled_pages",
+    f"""WITH {PAGES_TEXT},
+assembled AS (
+  SELECT script_id, count(*) AS total_pages,
+    coalesce(string_agg(CASE WHEN length({strip_sql('text')}) >= 10 THEN text END, chr(10) ORDER BY page_no), '') AS full_text,
+    coalesce(string_agg(CASE WHEN length({strip_sql('text')}) < 10 THEN CAST(page_no AS VARCHAR) END, ',' ORDER BY page_no), '') AS ocr_pages,
+    count(*) FILTER (length({strip_sql('text')}) >= 10) AS n_kept
+  FROM pages_text GROUP BY script_id)
+SELECT script_id, total_pages, full_text, ocr_pages,
+  array_to_string(list_filter([
+    CASE WHEN n_kept > 0 AND length({strip_sql('full_text')}) < 50 THEN 'very little text, results may be incomplete' END,
+    CASE WHEN ocr_pages <> '' THEN 'pages without text: ' || ocr_pages END], lambda w: w IS NOT NULL), ' | ') AS warnings,
+  {strip_sql('full_text')} <> '' AS has_text
+FROM assembled""",
+)
+def assembled_pages(spark, folder):
+    """All pages of every script."""
+    return _assembled_pages(spark, folder, None)
+
+
+@query(
+    "a3_assembled_pages_capped",
     f"""WITH {_ASSEMBLED}
 SELECT script_id, total_pages, full_text, ocr_pages,
   array_to_string(list_filter([
@@ -65,9 +86,13 @@ SELECT script_id, total_pages, full_text, ocr_pages,
   {strip_sql('full_text')} <> '' AS has_text
 FROM assembled""",
 )
-def assembled_pages(spark, folder):
+def assembled_pages_capped(spark, folder):
     """The page cap is the feature here: 10 pages, the count still over all."""
-    return assemble_pages(pages_text(spark, folder), max_pages=10).select(
+    return _assembled_pages(spark, folder, 10)
+
+
+def _assembled_pages(spark, folder, max_pages):
+    return assemble_pages(pages_text(spark, folder), max_pages=max_pages).select(
         "script_id",
         "total_pages",
         "full_text",
@@ -97,7 +122,7 @@ SELECT script_id, CAST(row_number() OVER (PARTITION BY script_id ORDER BY label)
 FROM rows_ WHERE text <> ''""",
 )
 def page_blocks(spark, folder):
-    assembled = assemble_pages(pages_text(spark, folder), max_pages=2**31 - 1)
+    assembled = assemble_pages(pages_text(spark, folder), max_pages=None)
     return segment.split_scenes(assembled.select("script_id", "full_text", "pages"), pages="pages")
 
 
@@ -370,6 +395,11 @@ SELECT doc_id, chunk_no, CAST(doc_id AS VARCHAR) || ':' || CASE WHEN chunk_no <
   chunk_text, chunk_offset, CAST(length(chunk_text) AS INTEGER) AS length, sha256(chunk_text) AS hash FROM chunk_rows""",
 )
 def chunks(spark, folder):
+    return chunking.chunk_documents(kb_text(spark, folder), chunker=lambda c: chunking.chunks(c, strict=False))
+
+
+@query("c11_chunks_strict")
+def chunks_strict(spark, folder):
     return chunking.chunk_documents(kb_text(spark, folder))
 
 

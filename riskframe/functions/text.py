@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.limits import MAX_TITLE, PROMPT_CHARS, REDACTED, SENSITIVE_FIELDS, SNIPPET_CHARS
+from riskframe.limits import REDACTED, SENSITIVE_FIELDS
 
 # The characters counted as white space, as the inside of a character class.
 WS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -52,14 +52,14 @@ def head(c: Column, n: int | None) -> Column:
     return c if n is None else F.substring(c, 1, n)
 
 
-def sanitise(c: Column, max_chars: int | None = PROMPT_CHARS) -> Column:
+def sanitise(c: Column, max_chars: int | None = None) -> Column:
     """Cut (optional), drop NUL, one blank per white-space run, drop unprintables, strip."""
     cut = F.replace(head(c, max_chars), F.lit(chr(0)), F.lit(""))
     flat = F.regexp_replace(cut, f"[{WS}]+", " ")
     return F.trim(F.regexp_replace(flat, r"\p{C}", ""))
 
 
-def locked_prompt(user: Column, system: Column, guard: str, max_chars: int | None = PROMPT_CHARS) -> Column:
+def locked_prompt(user: Column, system: Column, guard: str, max_chars: int | None = None) -> Column:
     """System text followed by a guard text, paired with the sanitised user text."""
     return F.struct(
         F.concat(system, F.lit("\n\n"), F.lit(guard)).alias("system_text"),
@@ -102,14 +102,17 @@ def file_extension(name: Column) -> Column:
     return F.regexp_extract(F.lower(name), r"(?s)(\.[^.]*)\z", 1)
 
 
-def title_from_stem(path: Column) -> Column:
+def title_from_stem(path: Column, max_chars: int | None = None) -> Column:
     """File name without folder and last extension, ``_`` and ``-`` as blanks."""
     name = F.regexp_replace(path, r"(?s)\A.*/", "")
     stem = F.regexp_replace(name, r"(?s)(?<=.)\.[^.]*\z", "")
-    return F.substring(F.translate(stem, "_-", "  "), 1, MAX_TITLE)
+    return head(F.translate(stem, "_-", "  "), max_chars)
 
 
-def snippet(c: Column, max_chars: int = SNIPPET_CHARS) -> Column:
+def snippet(c: Column, max_chars: int | None = None) -> Column:
+    """Stripped text, whole unless a limit is asked for; a cut text ends in three dots."""
+    if max_chars is None:
+        return strip_ws(c)
     return let(
         strip_ws(c),
         lambda text: F.when(

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.sizing import small_side
-from riskframe.limits import MAX_ERROR_CHARS
+from riskframe.functions.text import head
 
 
 def authenticate(requests: DataFrame, api_keys: DataFrame, at: str = "ts") -> DataFrame:
     """Adds auth_user and ``auth``: ok, missing, unknown, inactive or expired."""
-    keys = small_side(
+    keys = (
         api_keys.select(
             F.col("key_hash").alias("_hash"),
             F.col("user_id").alias("auth_user"),
@@ -106,7 +105,7 @@ def retrieval_outcomes(requests: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
-def latest_jobs(events: DataFrame, order: list[str]) -> DataFrame:
+def latest_jobs(events: DataFrame, order: list[str], max_error_chars: int | None = None) -> DataFrame:
     """One row per job: status of the latest event; progress, error and report of the
     latest event that set them. A late event with an older time changes nothing."""
     at = F.struct(*order)
@@ -117,7 +116,7 @@ def latest_jobs(events: DataFrame, order: list[str]) -> DataFrame:
     return events.groupBy("job_id").agg(
         latest(F.col("status")).alias("status"),
         latest(F.col("progress")).cast("int").alias("progress_percentage"),
-        F.substring(latest(F.col("error")), 1, MAX_ERROR_CHARS).alias("error_message"),
+        head(latest(F.col("error")), max_error_chars).alias("error_message"),
         F.max(order[0]).alias("updated_at"),
         F.count("*").alias("n_events"),
     )

@@ -119,9 +119,14 @@ def chunks(
     maximum: int = CHUNK_MAX,
     minimum: int = CHUNK_MIN,
     overlap: int = CHUNK_OVERLAP,
+    strict: bool = True,
 ) -> Column:
     """ARRAY<STRUCT<off, text>> of packed paragraphs.
 
+    ``strict``: no chunk is longer than ``maximum`` (a paragraph that is too long is cut into slices
+    first) and no chunk repeats only the overlap of the one before. Without it a paragraph that meets
+    an empty buffer is one chunk whatever its length, and a last overlap is a chunk of its own.
+
     Paragraphs are packed up to ``maximum`` characters and shipped from ``target`` on,
     the last ``overlap`` characters opening the next chunk. When the next paragraph does
     not fit, a buffer of ``minimum`` is shipped; a smaller one is topped up with slices
@@ -190,12 +195,28 @@ def chunks(
     start = state(F.array(), F.lit(""), F.lit(0))
 
     def finish(acc: Column) -> Column:
-        return let(
-            strip_ws(acc["buf"]),
-            lambda rest: F.when(rest != "", emit(acc, rest)).otherwise(acc["out"]),
+        def close(rest: Column) -> Column:
+            wanted = rest != ""
+            if strict:
+                last = F.element_at(acc["out"], -1)["text"]
+                only_overlap = (F.size(acc["out"]) > 0) & (F.char_length(rest) <= overlap) & last.endswith(rest)
+                wanted = wanted & ~F.coalesce(only_overlap, F.lit(False))
+            return F.when(wanted, emit(acc, rest)).otherwise(acc["out"])
+
+        return let(strip_ws(acc["buf"]), close)
+
+    paragraphs = _paragraphs(text)
+    if strict:
+        room = maximum - overlap - len(_GAP)
+        paragraphs = F.flatten(
+            F.transform(
+                paragraphs,
+                lambda p: F.transform(
+                    split_long(p["text"], room), lambda s, i: F.struct((p["off"] + i * room).alias("off"), s.alias("text"))
+                ),
+            )
         )
-
-    return F.aggregate(_paragraphs(text), start, step, finish)
+    return F.aggregate(paragraphs, start, step, finish)
 
 
 def chunk_documents(

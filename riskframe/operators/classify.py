@@ -8,10 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.sizing import small_side
-from riskframe.functions.text import is_blank, sanitise
+from riskframe.functions.text import head, is_blank, sanitise
 from riskframe.functions.vectors import hashed_bag
-from riskframe.limits import EMBED_CHARS
 
 
 def words(text: Column) -> Column:
@@ -23,12 +21,12 @@ def keyword_findings(scenes: DataFrame, lexicon: DataFrame, key: list[str], text
     """One raw finding per scene and class: highest scores of the terms that occur, number
     of occurrences and the terms as evidence.
 
-    The lexicon is broadcast if it is proven small; words outside it are then gone before
-    anything is shuffled, and the rest is counted before the shuffle.
+    Words are counted within each scene's rows before the shuffle; a small lexicon is broadcast by
+    Spark's own threshold, a large one is joined by a shuffle.
     """
     seen = (
         scenes.select(*key, F.explode(words(F.col(text))).alias("term"))
-        .join(small_side(lexicon), "term")
+        .join(lexicon, "term")
         .groupBy(*key, "risk_class", "term")
         .agg(F.count("*").alias("n"), F.max("likelihood").alias("likelihood"), F.max("impact").alias("impact"))
     )
@@ -46,7 +44,8 @@ def call_model(
     """Adds what ``fn`` returns for each scene, and ``error`` where it failed.
 
     ``fn`` gets a batch as a pandas frame and returns one JSON text per row. A failing batch
-    is tried again row by row, so one bad scene costs only itself. ``concurrency`` bounds the
+    is tried again row by row, so one bad scene costs only itself; scenes of that batch that were
+    answered the first time are asked again. ``concurrency`` bounds the
     calls in flight: it is the number of partitions of this step.
     """
     schema = scenes.schema
@@ -56,7 +55,8 @@ def call_model(
         results, errors = [], []
         for i in range(len(pdf)):
             try:
-                results.append(fn(pdf.iloc[i : i + 1])[0])
+                (answer,) = fn(pdf.iloc[i : i + 1])
+                results.append(answer)
                 errors.append(None)
             except Exception as exc:
                 results.append(None)
@@ -67,6 +67,8 @@ def call_model(
         for pdf in batches:
             try:
                 results, errors = list(fn(pdf)), [None] * len(pdf)
+                if len(results) != len(pdf):
+                    raise ValueError("the model gave another number of answers")
             except Exception:
                 results, errors = one_by_one(pdf)
             yield pdf.assign(**{out: results, "error": errors})
@@ -75,16 +77,59 @@ def call_model(
     return spread.mapInPandas(run, f"{fields}, `{out}` string, error string")
 
 
-def embedding_input(text: Column, max_chars: int = EMBED_CHARS) -> Column:
-    """STRUCT<text, truncated, error>: what an embedding model is given."""
-    clean = sanitise(text, None)
+def embedding_input(text: Column, max_chars: int | None = None) -> Column:
+    """STRUCT<text, truncated, error>: what an embedding model is given; whole unless a limit is asked for."""
+    clean = sanitise(text)
+    cut = F.char_length(clean) > max_chars if max_chars is not None else F.lit(False)
     return F.struct(
-        F.when(~is_blank(text), F.substring(clean, 1, max_chars)).alias("text"),
-        (F.char_length(clean) > max_chars).alias("truncated"),
+        F.when(~is_blank(text), head(clean, max_chars)).alias("text"),
+        cut.alias("truncated"),
         F.when(is_blank(text), F.lit("empty text")).alias("error"),
     )
 
 
+def embedding_slices(df: DataFrame, text: str, size: int) -> DataFrame:
+    """All slices of a long text (slice_no, slice), for models with a limit: nothing is dropped."""
+    clean = sanitise(F.col(text))
+    last = F.floor((F.greatest(F.char_length(clean), F.lit(1)) - 1) / size).cast("int")
+    at = df.withColumn("_clean", clean).withColumn("slice_no", F.explode(F.sequence(F.lit(0), last)))
+    return at.withColumn("slice", F.substring("_clean", F.col("slice_no") * size + 1, F.lit(size))).drop("_clean")
+
+
+def embed(df: DataFrame, fn: Callable[[pd.Series], list], text: str = "text", out: str = "embedding", concurrency: int | None = None) -> DataFrame:
+    """Adds the vector that a provider returns for each text, and ``error`` where it gave none.
+
+    ``fn`` gets a series of texts and returns a vector (or None) for each; a failing batch is tried
+    again text by text."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def ask(texts: pd.Series) -> list:
+        answers = list(fn(texts))
+        if len(answers) != len(texts):
+            raise ValueError("the provider gave another number of vectors")
+        return answers
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            vectors, errors = [], []
+            try:
+                vectors = ask(pdf[text])
+                errors = [None if v is not None else "not implemented" for v in vectors]
+            except Exception:
+                vectors = []
+                for i in range(len(pdf)):
+                    try:
+                        vectors += ask(pdf[text].iloc[i : i + 1])
+                        errors.append(None if vectors[-1] is not None else "not implemented")
+                    except Exception as exc:
+                        vectors.append(None)
+                        errors.append(type(exc).__name__)
+            yield pdf.assign(**{out: vectors, "error": errors})
+
+    dealt = df.repartition(concurrency) if concurrency else df
+    return dealt.mapInPandas(run, f"{fields}, `{out}` array<float>, error string")
+
+
 def hash_embedding(text: Column, dim: int = 64) -> Column:
     """Stand-in embedder: word counts in hashed buckets; equal texts, equal vectors."""
     return hashed_bag(words(text), dim)

@@ -97,10 +97,18 @@ def doc_summaries(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def list_documents(
-    docs: DataFrame, chunks: DataFrame, tenant: str, tag: str | None = None, limit: int = 100, offset: int = 0
+    docs: DataFrame,
+    chunks: DataFrame,
+    tenant: str,
+    tag: str | None = None,
+    limit: int = 100,
+    offset: int = 0,
+    after: tuple | None = None,
 ) -> DataFrame:
-    """Newest first, one page. The page is cut before chunks are counted, so only the
-    chunks of at most ``limit`` documents are counted."""
+    """Newest first, one page, each row with the ``total`` of the listing. The page is cut before
+    chunks are counted, so only the chunks of at most ``limit`` documents are counted, and it is
+    sorted after the joins. ``after`` = (created_at, doc_id) of the last row seen goes on from there
+    without skipping over what came before, however deep the page is."""
     if not 1 <= limit <= L.MAX_LIST_LIMIT:
         raise ValueError(f"limit must be 1..{L.MAX_LIST_LIMIT}")
     if offset < 0:
@@ -108,15 +116,24 @@ def list_documents(
     rows = docs.where(F.col("tenant_id") == tenant)
     if tag:
         rows = with_tag(rows, tag)
-    page = rows.select(*SUMMARY).orderBy(F.col("created_at").desc(), "doc_id").offset(offset).limit(limit)
+    newest = [F.col("created_at").desc(), F.col("doc_id")]
+    total = rows.agg(F.count("*").alias("total"))
+    seen = rows.select(*SUMMARY)
+    if after is not None:
+        at, last = after
+        seen = seen.where((F.col("created_at") < F.lit(at)) | ((F.col("created_at") == F.lit(at)) & (F.col("doc_id") > F.lit(last))))
+    page = seen.orderBy(*newest).offset(offset).limit(limit)
     ids = F.broadcast(page.select("doc_id"))  # at most MAX_LIST_LIMIT rows
-    return doc_summaries(page, chunks.join(ids, "doc_id", "left_semi"))
+    listed = doc_summaries(page, chunks.join(ids, "doc_id", "left_semi"))
+    return listed.join(F.broadcast(total), how="left").orderBy(*newest)  # one row
 
 
 def get_documents(requests: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Requests (request_id, doc_id, tenant_id) with the summary or ``not_found``; foreign
     documents look the same as absent ones."""
-    found = doc_summaries(docs, chunks).withColumn("_hit", F.lit(True))
+    asked = requests.select("doc_id").distinct()
+    mine = docs.join(asked, "doc_id", "left_semi")  # neither the store's documents nor its chunks are gone through as a whole
+    found = doc_summaries(mine, chunks.join(asked, "doc_id", "left_semi")).withColumn("_hit", F.lit(True))
     return (
         requests.join(found, ["doc_id", "tenant_id"], "left")
         .withColumn("outcome", F.when(F.col("_hit"), "found").otherwise("not_found"))
@@ -186,7 +203,7 @@ def ingest(
 
 
 def context_text(
-    scenes: DataFrame, hits: DataFrame, key: list[str], max_chars: int = L.SNIPPET_CHARS, enabled: bool = True
+    scenes: DataFrame, hits: DataFrame, key: list[str], max_chars: int | None = None, enabled: bool = True
 ) -> DataFrame:
     """``[title] snippet`` blocks in rank order per scene; the none-marker without a hit.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.text import SENTINEL, WS, first_line, let, strip_ws
-from riskframe.vocabulary import SCENE_MARKERS
+from riskframe.vocabulary import SCENE_MARKERS, SLASH_MAY_BE_SPACED, WORD_MUST_END
 
 
 def marker_pattern(markers: Sequence[str] = SCENE_MARKERS) -> str:
@@ -16,8 +16,9 @@ def marker_pattern(markers: Sequence[str] = SCENE_MARKERS) -> str:
     blanks = f"[{WS}]"
 
     def spelling(m: str) -> str:
-        word = m.replace(".", r"\.")
-        return word.replace("_/_", f"{blanks}*/{blanks}*").replace("~", rf"(?:\.|{blanks})")
+        slash = f"{blanks}*/{blanks}*" if m in SLASH_MAY_BE_SPACED else "/"
+        word = m.replace(".", r"\.").replace("/", slash)
+        return word + rf"(?:\.|{blanks})" if m in WORD_MUST_END else word
 
     return rf"^([ \t]*(?:\p{{Nd}}+[A-Za-z]?{blanks}+)?(?:{'|'.join(map(spelling, markers))}))"
 

@@ -9,28 +9,27 @@ from pyspark.sql import functions as F
 
 from riskframe import limits as L
 from riskframe.functions.network import callback_error
-from riskframe.functions.text import is_blank, strip_ws
+from riskframe.functions.text import head, is_blank, strip_ws
 
 
 def body_errors(content: Column, fmt: Column) -> Column:
     """Base64 body: blank, encoding, size and the first bytes of the declared format."""
     decoded = F.try_to_binary(content, F.lit("base64"))
-    probe = F.substring(decoded, 1, L.TEXT_PROBE_BYTES)
     # Strict: no characters outside the alphabet, padding only at the end, whole quads.
     strict = content.rlike(r"\A(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z")
     blank = is_blank(content)
     ok = ~blank & strict
-    hexed = F.hex(probe)
+    magic = F.hex(F.substring(decoded, 1, 4))
     return F.array(
         F.when(blank, "content: empty"),
         F.when(~blank & ~strict, "content: not base64"),
         F.when(F.char_length(content) > L.MAX_ENCODED_CHARS, "content: encoded text too long"),
         F.when(ok & (F.octet_length(decoded) > L.MAX_BODY_BYTES), "content: body too large"),
-        F.when(ok & (fmt == "fdx") & hexed.rlike(r"\A(?:..)*?00"), "content: null bytes"),
+        F.when(ok & (fmt == "fdx") & F.contains(decoded, F.lit(b"\x00")), "content: null bytes"),
         F.when(
-            ok & (fmt == "fdx") & F.try_validate_utf8(probe.cast("string")).isNull(), "content: not UTF-8 text"
+            ok & (fmt == "fdx") & F.try_validate_utf8(decoded.cast("string")).isNull(), "content: not UTF-8 text"
         ),
-        F.when(ok & (fmt == "pdf") & ~hexed.startswith("25504446"), "content: not a PDF"),
+        F.when(ok & (fmt == "pdf") & ~magic.startswith("25504446"), "content: not a PDF"),
     )
 
 
@@ -114,13 +113,20 @@ def parse_tags(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), strip_ws), lambda t: t != "")
 
 
-def normalise_kb(df: DataFrame) -> DataFrame:
-    """Title, source and tags in their stored form, plus ``errors``."""
+def normalise_kb(df: DataFrame, max_title: int | None = None, max_source: int | None = None) -> DataFrame:
+    """Title, source and tags in their stored form, plus ``errors``.
+
+    Limits are only kept if they are given; ``title_truncated`` and ``source_truncated`` then mark
+    what was cut."""
     tags = parse_tags(F.col("tags"))
+    title, source = strip_ws(F.col("title")), strip_ws(F.upper("source"))
+    over = lambda c, most: F.char_length(c) > most if most is not None else F.lit(False)
     return df.select(
         *[c for c in df.columns if c not in ("title", "source", "tags")],
-        F.substring(strip_ws(F.col("title")), 1, L.MAX_TITLE).alias("title"),
-        F.substring(strip_ws(F.upper("source")), 1, L.MAX_SOURCE).alias("source"),
+        head(title, max_title).alias("title"),
+        over(title, max_title).alias("title_truncated"),
+        head(source, max_source).alias("source"),
+        over(source, max_source).alias("source_truncated"),
         F.array_distinct(tags).alias("tags"),
         F.array_compact(
             F.array(

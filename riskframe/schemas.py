@@ -39,6 +39,6 @@ AUDIT = (
     "status_code INT, duration_ms DOUBLE, day DATE"
 )
 API_KEY = "key_hash STRING, user_id STRING, name STRING, is_active BOOLEAN, expires_at TIMESTAMP"
-RISK_CLASS = "risk_class STRING, category STRING, rule_id STRING, description STRING, ord INT"
+RISK_CLASS = "risk_class STRING, category STRING, rule_id STRING, description STRING, ord BIGINT"
 MEASURE = "code STRING, title STRING, responsible STRING, due STRING, ord INT"
 MEASURE_APPLIES = "code STRING, risk_class STRING, ord INT"

@@ -24,7 +24,7 @@ def flatten_taxonomy(doc: DataFrame) -> DataFrame:
         "category",
         F.col("k.value.rule_id").alias("rule_id"),
         F.coalesce("k.value.description", F.lit("")).alias("description"),
-        (F.col("cat_ord") * 1000 + F.col("cls_ord")).alias("ord"),
+        (F.shiftleft(F.col("cat_ord").cast("long"), 32) + F.col("cls_ord")).alias("ord"),
     )
 
 

@@ -6,17 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.text import strip_ws
-from riskframe.limits import MAX_PAGES, MIN_DOCUMENT_CHARS, MIN_PAGE_CHARS
+from riskframe.limits import MIN_DOCUMENT_CHARS, MIN_PAGE_CHARS
 
 
-def assemble_pages(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+def assemble_pages(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """``pages(script_id, page_no, text)`` to one row per script: full_text, pages, page
     numbers that need OCR, and warnings.
 
-    Pages beyond the cap only add to the count, so the collected list of a script is
-    bounded by ``max_pages`` whatever the script's size.
+    All pages are kept unless ``max_pages`` is given; pages beyond it then only add to the count.
     """
-    within = F.col("page_no") <= max_pages
+    within = F.col("page_no") <= max_pages if max_pages is not None else F.lit(True)
     scanned = F.char_length(strip_ws(F.coalesce(F.col("text"), F.lit("")))) < MIN_PAGE_CHARS
     grouped = pages.groupBy("script_id").agg(
         F.count("*").alias("total_pages"),
@@ -31,7 +30,7 @@ def assemble_pages(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
             F.array_compact(
                 F.array(
                     F.when(
-                        F.col("total_pages") > max_pages,
+                        F.col("total_pages") > (max_pages if max_pages is not None else 2**62),
                         F.format_string(f"%d pages given, the first {max_pages} were used", "total_pages"),
                     ),
                     F.when(

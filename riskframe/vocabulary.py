@@ -46,21 +46,25 @@ TIME_WORDS = {
     "SPAETER": "CONTINUOUS",
 }
 
-# Spellings that open a scene in running text. "_/_" allows blanks around
-# the slash, a final "~" asks for a dot or a blank after the word.
+# Spellings that open a scene in running text.
 SCENE_MARKERS = (
-    "INT._/_EXT.",
+    "INT./EXT.",
     "INT/EXT.",
-    "EXT._/_INT.",
+    "EXT./INT.",
     "EXT/INT.",
     "INT.",
     "EXT.",
-    "INNEN_/_AUSSEN",
-    "AUSSEN_/_INNEN",
-    "INNEN~",
-    "AUSSEN~",
+    "INNEN/AUSSEN",
+    "AUSSEN/INNEN",
+    "INNEN",
+    "AUSSEN",
 )
 
+# Of these, the ones that allow blanks around their slash, and the ones that
+# need a dot or a blank after the word.
+SLASH_MAY_BE_SPACED = ("INT./EXT.", "EXT./INT.", "INNEN/AUSSEN", "AUSSEN/INNEN")
+WORD_MUST_END = ("INNEN", "AUSSEN")
+
 # Demonstration taxonomy, our own wording: (category, class, rule id, description).
 RISK_CLASSES = (
     ("PHYSICAL", "FIRE", "PHY-01", "open flame, pyrotechnics or heat near people"),
@@ -110,17 +114,3 @@ KEYWORDS = (
     ("funeral", "GRIEF", 3, 2),
     ("kiss", "INTIMACY", 2, 2),
 )
-
-# Demonstration screening rules in six groups: (rule id, group, pattern, case-insensitive).
-SCREEN_RULES = (
-    ("override-1", "override", r"\bignore\s+(all|any|earlier|previous)\s+(orders|rules|instructions?)", True),
-    ("override-2", "override", r"\bdo\s+not\s+follow\s+[^.]{0,40}(rules|instructions?)", True),
-    ("role-1", "role", r"\byou\s+must\s+now\s+(be|act)\b", True),
-    ("role-2", "role", r"(^|\n)\s*(system|assistant)\s*:", True),
-    ("order-1", "order", r"\b(changed|fresh)\s+instructions?\s*:", True),
-    ("code-1", "code", r"<\s*script\b", True),
-    ("code-2", "code", r"\bon(click|load)\s*=", True),
-    ("leak-1", "leak", r"\bprint\s+(your|the)\s+(hidden|system)\s+(text|prompt)", True),
-    ("fence-1", "fence", r"[\"'`]{3,}", False),
-    ("fence-2", "fence", r"[-=*#%$&]{3,}", False),
-)
