@@ -1,178 +1,153 @@
-"""k nearest chunks per query by cosine distance, exact, without pairing rows.
+"""k nearest chunks per query by cosine distance: an index in the shared folder, and searches in it.
 
-Two plans with the same result:
+``build_index`` assigns every unit vector to the nearest of about sqrt(n) pivots, once, and writes
+the cells. ``search`` is exact: a query first looks into the cells around it, which bounds its k-th
+distance, and then only into the cells that the triangle inequality cannot rule out. With ``probes``
+it stops after so many nearest cells, like an inverted file; that is faster and approximate, and
+its recall is measured in the tests. Cells and the queries that probe them are dealt in blocks of a
+bounded size, so a cell or tenant that holds a third of all rows is many tasks; a task compares two
+blocks as one matrix product and gives back at most k rows for each query.
 
-* the chunk side is proven small: its matrix is broadcast, the queries stay where they are;
-* otherwise the unit vectors are assigned to the nearest of a bounded set of pivots. A query
-  first looks into the cells around it, which bounds its k-th distance, and then only into
-  the cells that the triangle inequality cannot rule out (exact pivot-based kNN join). Cells
-  and the queries that probe them are cut into blocks of bounded size, so a cell or tenant
-  that holds a third of all rows is many tasks. A task compares two blocks as one matrix
-  product and gives back k rows per query, never the pairs.
-
-``probes`` stops after the given number of nearest cells: approximate, like an inverted file.
+Vectors that are missing, zero, or of another length than the index's are set aside with a reason.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from riskframe.functions.sizing import small_side
-from riskframe.functions.vectors import norm
+from riskframe.functions.vectors import cosine_distance, norm
 
 PLACES = 12
-SMALL_FLOATS = 4_000_000
-BLOCK = 2048
+#: Most pivots, and rows of a block on either side.
+MAX_PIVOTS, BLOCK = 4096, 2048
 _SLACK = 1e-7
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.vstack(column.to_numpy()).astype(np.float64)
+@dataclass(frozen=True)
+class Index:
+    """Paths of the placed vectors, the cells and the rejected rows, and the pivots as unit vectors."""
 
+    folder: str
+    dim: int
+    pivots: np.ndarray
 
-def _unit(column: pd.Series) -> np.ndarray:
-    m = _matrix(column)
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
+    def read(self, spark, name: str) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/{name}")
 
 
-def _top_k(query_ids, dist: np.ndarray, chunk_ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The k smallest of every row of ``dist``, ties by chunk id."""
-    dist = np.round(dist, PLACES)
-    if dist.shape[1] > k:
-        # All columns that tie with the k-th distance stay in, then id decides.
-        limit = np.partition(dist, k - 1, axis=1)[:, k - 1 : k]
-        rows, cols = np.nonzero(dist <= limit)
-    else:
-        rows, cols = np.indices(dist.shape).reshape(2, -1)
-    out = pd.DataFrame({"q": rows, "chunk_id": chunk_ids[cols], "distance": dist[rows, cols]})
-    out = out.sort_values(["q", "distance", "chunk_id"]).groupby("q", sort=False).head(k)
-    return pd.DataFrame(
-        {"query_id": np.asarray(query_ids)[out["q"]], "chunk_id": out["chunk_id"], "distance": out["distance"]}
+def reject_reason(embedding: Column, dim: int) -> Column:
+    """Why a vector has no place in an index of ``dim`` dimensions, NULL if it has."""
+    return (
+        F.when(embedding.isNull(), "missing")
+        .when(F.size(embedding) != dim, "wrong length")
+        .when(F.exists(embedding, lambda x: x.isNull() | F.isnan(x.cast("double"))), "not a number")
+        .when(norm(embedding) == 0, "zero")
     )
 
 
-def _final(hits: DataFrame, k: int) -> DataFrame:
-    order = W.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _usable(df: DataFrame, *columns: str) -> DataFrame:
-    """A zero or missing vector has no direction and so no distance."""
-    return df.where(F.col("embedding").isNotNull() & (norm(F.col("embedding")) > 0)).select(*columns, "embedding")
-
-
-def knn(
-    queries: DataFrame,
-    chunks: DataFrame,
-    k: int,
-    pivots: int = 128,
-    block: int = BLOCK,
-    small_floats: int = SMALL_FLOATS,
-    probes: int | None = None,
-) -> DataFrame:
-    """``queries(query_id, tenant_id, embedding)`` against ``chunks(chunk_id, tenant_id,
-    embedding)`` of the same tenant: query_id, chunk_id, distance, rank (1..k)."""
-    ids = (
-        f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
-        f"chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, distance double"
-    )
-    spark = queries.sparkSession
-    if k <= 0:
-        return spark.createDataFrame([], ids + ", rank int")
-    queries = _usable(queries, "query_id", "tenant_id")
-    chunks = _usable(chunks, "chunk_id", "tenant_id")
-    first = chunks.select(F.size("embedding")).first()
-    if first is None:
-        return spark.createDataFrame([], ids + ", rank int")
-    most = max(small_floats // first[0], 0)
-    if probes is None and chunks.limit(most + 1).count() <= most:
-        return _knn_small(queries, chunks, k, ids)
-    return _final(_knn_cells(queries, chunks, k, ids, pivots, block, probes), k)
-
+def _unit(column: pd.Series) -> np.ndarray:
+    m = np.vstack(column.to_numpy()).astype(np.float64)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
 
-def _knn_small(queries: DataFrame, chunks: DataFrame, k: int, ids: str) -> DataFrame:
-    table = chunks.toPandas()  # at most SMALL_FLOATS numbers
-    sides = {t: (g["chunk_id"].to_numpy(), _unit(g["embedding"])) for t, g in table.groupby("tenant_id", sort=False)}
-    shared = queries.sparkSession.sparkContext.broadcast(sides)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for tenant, part in pdf.groupby("tenant_id", sort=False):
-                if tenant not in shared.value:
-                    continue
-                chunk_ids, matrix = shared.value[tenant]
-                rows = max(1, SMALL_FLOATS // len(chunk_ids))
-                for i in range(0, len(part), rows):
-                    q = part.iloc[i : i + rows]
-                    hits = _top_k(q["query_id"], 1.0 - _unit(q["embedding"]) @ matrix.T, chunk_ids, k)
-                    hits["rank"] = hits.groupby("query_id", sort=False).cumcount() + 1
-                    yield hits
+def _chords(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (unit @ pivots.T)))
 
-    return queries.mapInPandas(run, ids + ", rank int")
 
+def _fields(df: DataFrame, *names: str) -> str:
+    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
-def _knn_cells(
-    queries: DataFrame, chunks: DataFrame, k: int, ids: str, n_pivots: int, block: int, probes: int | None
-) -> DataFrame:
-    picked = chunks.orderBy(F.xxhash64(F.col("chunk_id").cast("string")), "chunk_id").limit(n_pivots)
-    pivots = _unit(picked.select("embedding").toPandas()["embedding"])  # n_pivots vectors
 
-    def to_pivots(unit: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (unit @ pivots.T)))
+def build_index(chunks: DataFrame, folder: str, dim: int, pivots: int | None = None) -> Index:
+    """Write the index of ``chunks(chunk_id, tenant_id, embedding)`` to a new folder."""
+    spark = chunks.sparkSession
+    rows = chunks.select("chunk_id", "tenant_id", "embedding").withColumn("reason", reject_reason(F.col("embedding"), dim))
+    rows.where("reason IS NOT NULL").select("chunk_id", "tenant_id", "reason").write.parquet(f"{folder}/rejected")
+    good = rows.where("reason IS NULL").drop("reason")
+    wanted = pivots or min(MAX_PIVOTS, max(1, math.ceil(math.sqrt(good.count()))))
+    picked = good.orderBy(F.xxhash64(F.col("chunk_id").cast("string")), "chunk_id").limit(wanted)
+    found = picked.select("embedding").toPandas()["embedding"]  # MAX_PIVOTS vectors at most
+    centres = _unit(found) if len(found) else np.zeros((1, dim))
+    shared = spark.sparkContext.broadcast(centres)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                d = to_pivots(_unit(pdf["embedding"]))
+                d = _chords(_unit(pdf["embedding"]), shared.value)
                 cell = d.argmin(axis=1)
                 yield pdf.assign(cell=cell.astype(np.int32), r=d[np.arange(len(d)), cell])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema)
-    placed = chunks.mapInPandas(assign, f"{fields}, cell int, r double")
-    cells = placed.groupBy("tenant_id", "cell").agg(F.count("*").alias("n"), F.max("r").alias("radius"))
-    cells = cells.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    by_tenant = cells.groupBy("tenant_id").agg(F.collect_list(F.struct("cell", "n", "radius", "blocks")).alias("cells"))
-    # A tenant has at most n_pivots cells; the whole table is broadcast only if proven small.
-    asked = queries.join(small_side(by_tenant), "tenant_id")
+    placed = good.mapInPandas(assign, f"{_fields(good, 'chunk_id', 'tenant_id', 'embedding')}, cell int, r double")
+    placed.write.parquet(f"{folder}/placed")
+    cells = spark.read.parquet(f"{folder}/placed").groupBy("tenant_id", "cell").agg(F.count("*").alias("n"), F.max("r").alias("radius"))
+    cells.write.parquet(f"{folder}/cells")
+    return Index(folder, dim, centres)
+
+
+def _route(queries: DataFrame, index: Index, k: int, block: int, probes: int | None) -> DataFrame:
+    """Each query with the cells that it has to look into: at home first, others with a lower bound."""
+    spark = queries.sparkSession
+    cells = index.read(spark, "cells").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    known = cells.groupBy("tenant_id").agg(F.collect_list(F.struct("cell", "n", "radius", "blocks")).alias("cells"))  # MAX_PIVOTS at most
+    shared = spark.sparkContext.broadcast(index.pivots)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            dist = to_pivots(_unit(pdf["embedding"]))
-            picks = []
-            for i, known in enumerate(pdf["cells"]):
-                cell = np.array([c["cell"] for c in known])
-                n = np.array([c["n"] for c in known])
-                radius = np.array([c["radius"] for c in known])
-                blocks = np.array([c["blocks"] for c in known])
+            dist, picks = _chords(_unit(pdf["embedding"]), shared.value), []
+            for i, own in enumerate(pdf["cells"]):
+                cell, n, radius, blocks = (np.array([c[f] for c in own]) for f in ("cell", "n", "radius", "blocks"))
                 d = dist[i, cell]
                 near = np.argsort(d, kind="stable")
-                enough = int(np.searchsorted(np.cumsum(n[near]), k)) + 1
                 home = np.zeros(len(cell), bool)
-                home[near[: max(enough, probes or 1)]] = True
-                # Bound on the k-th distance from counts and radii alone; none with fewer than k chunks.
+                home[near[: max(int(np.searchsorted(np.cumsum(n[near]), k)) + 1, probes or 1)]] = True
                 order = np.argsort(d + radius, kind="stable")
                 place = int(np.searchsorted(np.cumsum(n[order]), k))
                 reach = (d + radius)[order[place]] if place < len(order) else np.inf
                 lower = np.maximum(0.0, d - radius)
-                keep = home if probes else (home | (lower <= reach + _SLACK))
-                for j in np.nonzero(keep)[0]:
-                    picks.append((i, cell[j], blocks[j], bool(home[j]), lower[j]))
+                keep = home if probes else home | (lower <= reach + _SLACK)
+                picks += [(i, cell[j], blocks[j], bool(home[j]), lower[j]) for j in np.flatnonzero(keep)]
             rows = pd.DataFrame(picks, columns=["i", "cell", "blocks", "home", "lower"])
             base = pdf.drop(columns="cells").iloc[rows["i"]].reset_index(drop=True)
             yield base.assign(**{c: rows[c].to_numpy() for c in ("cell", "blocks", "home", "lower")})
 
-    qfields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.select("tenant_id", "query_id", "embedding").schema)
-    routed = asked.select("tenant_id", "query_id", "embedding", "cells").mapInPandas(
-        route, f"{qfields}, cell int, blocks int, home boolean, lower double"
-    )
+    asked = queries.join(known, "tenant_id").select("tenant_id", "query_id", "embedding", "cells")
+    return asked.mapInPandas(route, f"{_fields(queries, 'tenant_id', 'query_id', 'embedding')}, cell int, blocks int, home boolean, lower double")
+
+
+def _top_k(query_ids, dist: np.ndarray, chunk_ids: np.ndarray, k: int) -> pd.DataFrame:
+    """The k smallest of every row of ``dist``, ties by chunk id."""
+    dist = np.round(dist, PLACES)
+    if dist.shape[1] > k:
+        rows, cols = np.nonzero(dist <= np.partition(dist, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        rows, cols = np.indices(dist.shape).reshape(2, -1)
+    out = pd.DataFrame({"q": rows, "chunk_id": chunk_ids[cols], "distance": dist[rows, cols]})
+    out = out.sort_values(["q", "distance", "chunk_id"]).groupby("q", sort=False).head(k)
+    return pd.DataFrame({"query_id": np.asarray(query_ids)[out["q"]], "chunk_id": out["chunk_id"], "distance": out["distance"]})
+
+
+def _compare(probing: DataFrame, placed: DataFrame, k: int, block: int, ids: str) -> DataFrame:
+    """Blocks of queries against blocks of their cells."""
+    load = probing.groupBy("tenant_id", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("q_blocks"), F.max("blocks").alias("c_blocks"))
+
+    def slot(name: str, blocks: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(name).cast("string")), F.col(blocks)).cast("int")
+
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    left = probing.select("tenant_id", "cell", "query_id", "embedding").join(load, ["tenant_id", "cell"])
+    left = left.select("tenant_id", "cell", every("c_blocks").alias("c_block"), slot("query_id", "q_blocks").alias("q_block"), "query_id", "embedding")
+    right = placed.join(load, ["tenant_id", "cell"])
+    right = right.select("tenant_id", "cell", slot("chunk_id", "c_blocks").alias("c_block"), every("q_blocks").alias("q_block"), "chunk_id", "embedding")
 
     def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
@@ -180,57 +155,42 @@ def _knn_cells(
         return _top_k(q["query_id"], 1.0 - _unit(q["embedding"]) @ _unit(c["embedding"]).T, c["chunk_id"].to_numpy(), k)
 
     group = ["tenant_id", "cell", "c_block", "q_block"]
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(compare, ids)
 
-    def block_join(probing: DataFrame) -> DataFrame:
-        load = small_side(
-            probing.groupBy("tenant_id", "cell").agg(
-                F.ceil(F.count("*") / block).cast("int").alias("q_blocks"), F.max("blocks").alias("c_blocks")
-            )
-        )
-
-        def slot(id_: str, blocks: str):
-            return F.pmod(F.xxhash64(F.col(id_).cast("string")), F.col(blocks)).cast("int")
-
-        left = probing.join(load, ["tenant_id", "cell"]).select(
-            "tenant_id",
-            "cell",
-            F.explode(F.sequence(F.lit(0), F.col("c_blocks") - 1)).alias("c_block"),
-            slot("query_id", "q_blocks").alias("q_block"),
-            "query_id",
-            "embedding",
-        )
-        right = placed.join(load, ["tenant_id", "cell"]).select(
-            "tenant_id",
-            "cell",
-            slot("chunk_id", "c_blocks").alias("c_block"),
-            F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block"),
-            "chunk_id",
-            "embedding",
-        )
-        return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(compare, ids)
-
-    near = block_join(routed.where("home"))
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("query_id").orderBy("distance", "chunk_id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def knn(queries: DataFrame, index: Index, k: int, probes: int | None = None, block: int = BLOCK) -> DataFrame:
+    """``queries(query_id, tenant_id, embedding)`` against the index, each within its tenant:
+    query_id, chunk_id, distance, rank (1..k). Nothing runs until the result is asked for."""
+    spark = queries.sparkSession
+    placed = index.read(spark, "placed").drop("r")
+    ids = f"{_fields(queries, 'query_id')}, {_fields(placed, 'chunk_id')}, distance double"
+    if k <= 0:
+        return spark.createDataFrame([], ids + ", rank int")
+    usable = queries.select("query_id", "tenant_id", "embedding").where(reject_reason(F.col("embedding"), index.dim).isNull())
+    routed = _route(usable, index, k, block, probes)
+    near = _ranked(_compare(routed.where("home"), placed, k, block, ids), k)
     if probes:
         return near
-    best = near.groupBy("query_id").agg(
-        F.element_at(F.array_sort(F.collect_list("distance")), F.least(F.count("*"), F.lit(k)).cast("int")).alias("kth"),
-        F.count("*").alias("n"),
-    )
-    # cos distance x on unit vectors is the chord sqrt(2x).
+    best = near.groupBy("query_id").agg(F.max("distance").alias("kth"), F.count("*").alias("n"))
+    # a cosine distance x of unit vectors is a chord of sqrt(2x)
     bound = F.when(F.col("n") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 * F.col("kth"))) + _SLACK)
-    far = (
-        routed.where("NOT home")
-        .join(best.select("query_id", bound.alias("bound")), "query_id", "left")
-        .where(F.col("bound").isNull() | (F.col("lower") <= F.col("bound")))
-        .drop("bound")
-    )
-    return near.unionByName(block_join(far))
+    far = routed.where("NOT home").join(best.select("query_id", bound.alias("bound")), "query_id", "left")
+    far = far.where(F.col("bound").isNull() | (F.col("lower") <= F.col("bound"))).drop("bound")
+    return _ranked(near.drop("rank").unionByName(_compare(far, placed, k, block, ids)), k)
+
+
+def rejected_queries(queries: DataFrame, dim: int) -> DataFrame:
+    """Queries that cannot be asked, with the reason."""
+    return queries.withColumn("reason", reject_reason(F.col("embedding"), dim)).where("reason IS NOT NULL")
 
 
 def nearest_to_one(chunks: DataFrame, query: list[float], k: int) -> DataFrame:
     """One query: a scan with the distance as an expression and a top-k, no shuffle."""
-    from riskframe.functions.vectors import cosine_distance
-
     if k <= 0:
         return chunks.select("chunk_id", F.lit(0.0).alias("distance")).limit(0)
     vector = F.array(*(F.lit(float(x)) for x in query))
@@ -238,11 +198,13 @@ def nearest_to_one(chunks: DataFrame, query: list[float], k: int) -> DataFrame:
     return ranked.where("distance IS NOT NULL").orderBy("distance", "chunk_id").limit(k)
 
 
-def search(queries: DataFrame, docs: DataFrame, chunks: DataFrame, now, k: int, **options) -> DataFrame:
-    """Hits among the live chunks of the tenant, with title, tags and text of the hit."""
+def search(queries: DataFrame, docs: DataFrame, chunks: DataFrame, index: Index, now, k: int, **options) -> DataFrame:
+    """Hits among the live chunks of the tenant, with title, tags and text of the hit.
+
+    The index holds all chunks; what has expired since is dropped from the hits, so ask for a larger
+    k where much has expired, or build the index anew."""
     from riskframe.operators.knowledge import is_live
 
-    live = docs.where(is_live(now)).select("doc_id", "tenant_id", "title", "tags")
-    pool = chunks.join(live, "doc_id")
-    hits = knn(queries, pool.select("chunk_id", "tenant_id", "embedding"), k, **options)
-    return hits.join(pool.select("chunk_id", "doc_id", "title", "tags", "chunk_text"), "chunk_id")
+    live = docs.where(is_live(now)).select("doc_id", "title", "tags")
+    hits = knn(queries, index, k, **options)
+    return hits.join(chunks.select("chunk_id", "doc_id", "chunk_text"), "chunk_id").join(live, "doc_id")
