@@ -22,6 +22,7 @@ Defined results for odd input:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,7 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.llm.frames import column_index, cut, numbered, pick, table
+from riskframe.llm import resemblance
+from riskframe.llm.frames import column_index, cut, numbered, pick, shared_folder, table, through_table
 from riskframe.llm.words import LOWER, read_words, slices
 
 SHINGLE, SEED, MAX_BITS, LEAST_BYTES = 3, 42, 2, 6
@@ -165,16 +167,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """docs with one row of each component: the one of the smallest id (the smallest text, should that id be repeated).
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float | None = resemblance.SIMILARITY) -> DataFrame:
+    """docs with one row of each group: the one of the smallest id (the smallest text, should that id be repeated).
 
-    If all ids of a component are null, one of its rows stays as well."""
+    A group is a component of fingerprints within two bits; such components are further joined by
+    links between texts with at least the given similarity on five-word shingles, unless it is None.
+    If all ids of a component of fingerprints are null, one of its rows stays as well."""
     df, names = numbered(docs)
     ident, body = (f"c{column_index(docs, c)}" for c in (doc_id, text))
     marked = _marked(docs, doc_id, text, shingle)
     found = cut(classes(marked))
-    leads = found.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias("lead")).distinct()
-    kept = df.join(leads, F.col(ident) == F.col("lead")).drop("lead")
+    leads = found.where(F.col("component_id").isNotNull()).select(F.col("component_id").cast("long").alias("id")).distinct()
+    if similarity is not None:
+        folder = f"{shared_folder(docs.sparkSession)}/simhash-{uuid.uuid4().hex}"
+        rows = pick(docs, id=doc_id, text=text).select(F.col("id").cast("long"), F.col("text").cast("string"))
+        leads = cut(leads)
+        edges = resemblance.similar(rows, leads, lambda x, name: through_table(x, f"{folder}/{name}"), similarity)
+        leads = leads.join(components(edges).select(F.col("node").alias("id")), "id", "left_anti")
+    kept = df.join(leads, F.col(ident) == F.col("id")).drop("id")
     kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy(ident).orderBy(body)))
     nameless = with_fingerprints(df.where(F.col(ident).isNull()), body, shingle=shingle)
     nameless = nameless.join(found.where(F.col("component_id").isNull()), F.col("fp") == F.col("f"))

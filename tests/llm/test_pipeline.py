@@ -22,7 +22,10 @@ def test_stages_follow_one_another(spark, data):
     raw = {r.doc_id: r.text for r in steps[0][1].collect()}
     rules = quality.learn(steps[0][1], spark.read.parquet(f"{data}/labels.parquet"))
     assert sorted(ids[0]) == sorted(r.doc_id for r in quality.judge(steps[0][1], rules).where("kept").collect())
-    assert sorted(ids[1]) == sorted({r.component_id for r in simhash.near_duplicates(steps[1][1]).collect()})
+    alike = {}
+    for r in simhash.near_duplicates(steps[1][1]).collect():
+        alike.setdefault(r.component_id, set()).add(r.doc_id)
+    assert all(len(set(ids[1]) & group) <= 1 for group in alike.values()) and len(ids[1]) <= len(alike)
     assert sorted(ids[2]) == sorted(r.doc_id for r in decontaminate.scan(steps[2][1], bench).where("not contaminated").collect())
     for r in steps[3][2].collect():
         assert not re.search(r"@mail\d", r.text) or r.text != raw[r.doc_id]

@@ -42,7 +42,7 @@ def test_documents_against_brute_force(spark, data):
     prints = {d: fingerprint(t) for d, t in text.items()}
     assert {r.doc_id: r.fingerprint for r in got} == {d: f"{f:016x}" for d, f in prints.items()}
     assert {r.doc_id: r.component_id for r in got} == joined(sorted(text), lambda a, b: bin(prints[a] ^ prints[b]).count("1") <= 2)
-    kept = S.keep_one(docs)
+    kept = S.keep_one(docs, similarity=None)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in got})
 
 
@@ -65,6 +65,43 @@ def test_links_of_crowds_and_chains(spark):
     assert got == want
 
 
+def jaccard(a, b, n=5):
+    sets = [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (odd.spaced(odd.lower(a)), odd.spaced(odd.lower(b)))]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_are_found_and_others_stay(spark):
+    """Copies with a few words changed: every pair of 0.8 or more is linked, none below it is."""
+    rng = random.Random(11)
+    say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows, line = [], say(30)
+    for _ in range(25):
+        source = say(rng.choice([60, 90, 200, 500]))
+        rows.append(source)
+        for _ in range(rng.randrange(0, 7)):
+            copy = list(source)
+            for _ in range(rng.randrange(0, max(2, len(copy) // 40))):
+                copy[rng.randrange(len(copy))] = rng.choice(["changed", "other", "new"])
+            rows.append(copy + say(rng.choice([0, 0, 2])))
+    rows += [say(70) + line for _ in range(30)]
+    rng.shuffle(rows)
+    text = {i: " ".join(w) for i, w in enumerate(rows)}
+    prints = {i: fingerprint(t) for i, t in text.items()}
+    want = joined(sorted(text), lambda a, b: bin(prints[a] ^ prints[b]).count("1") <= 2 or jaccard(text[a], text[b]) >= 0.8)
+    docs = spark.createDataFrame(sorted(text.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == sorted(set(want.values()))
+    assert sorted(r.doc_id for r in S.keep_one(docs, similarity=None).collect()) != sorted(set(want.values()))
+
+
+def test_joins_beyond_the_broadcast_bound(spark, data, monkeypatch):
+    from riskframe.llm import resemblance
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    want = sorted(r.doc_id for r in S.keep_one(docs).collect())
+    monkeypatch.setattr(resemblance, "BROADCAST_IDS", 0)
+    assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == want
+
+
 def test_odd_rows(spark):
     got = S.near_duplicates(odd.docs(spark)).collect()
     assert len(got) == len(odd.ROWS)
