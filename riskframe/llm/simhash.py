@@ -145,14 +145,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """(f, root, component_id) for each different ``fp`` of rows (id, fp); root is a fingerprint of the component."""
+    """(f, least, root, component_id) for each different ``fp`` of rows (id, fp): its smallest id, a fingerprint that
+    names its component, and the component's smallest id."""
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     linked = components(links(distinct))
     roots = linked.select(F.explode(F.array("node", "root")).alias("node"), "root").distinct()
     lowest = roots.join(distinct, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("lowest"))
     found = roots.join(lowest, "root").select("node", "root", "lowest")
     both = distinct.join(found, F.col("fp") == F.col("node"), "left")
-    return both.select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("lowest")).alias("component_id"))
+    return both.select(F.col("fp").alias("f"), "least", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("lowest")).alias("component_id"))
 
 
 def _marked(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
@@ -172,18 +173,21 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
 
     A group is a component of fingerprints within two bits; such components are further joined by
     links between texts with at least the given similarity on five-word shingles, unless it is None.
+    There each different fingerprint stands for all texts that have it.
     If all ids of a component of fingerprints are null, one of its rows stays as well."""
     df, names = numbered(docs)
     ident, body = (f"c{column_index(docs, c)}" for c in (doc_id, text))
     marked = _marked(docs, doc_id, text, shingle)
     found = cut(classes(marked))
-    leads = found.where(F.col("component_id").isNotNull()).select(F.col("component_id").cast("long").alias("id")).distinct()
+    named = found.where(F.col("least").isNotNull()).select(F.col("least").cast("long").alias("id"), F.col("component_id").cast("long").alias("to"))
+    leads = named.select(F.col("to").alias("id")).distinct()
     if similarity is not None:
         folder = f"{shared_folder(docs.sparkSession)}/simhash-{uuid.uuid4().hex}"
         rows = pick(docs, id=doc_id, text=text).select(F.col("id").cast("long"), F.col("text").cast("string"))
-        leads = cut(leads)
-        edges = resemblance.similar(rows, leads, lambda x, name: through_table(x, f"{folder}/{name}"), similarity)
-        leads = leads.join(components(edges).select(F.col("node").alias("id")), "id", "left_anti")
+        named = cut(named)
+        edges = resemblance.similar(rows, named.select("id"), lambda x, name: through_table(x, f"{folder}/{name}"), similarity)
+        edges = cut(edges.unionAll(named.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b"))))
+        leads = named.select("id").join(components(edges).select(F.col("node").alias("id")), "id", "left_anti")
     kept = df.join(leads, F.col(ident) == F.col("id")).drop("id")
     kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy(ident).orderBy(body)))
     nameless = with_fingerprints(df.where(F.col(ident).isNull()), body, shingle=shingle)
