@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, LANES, STEPS, RATE = 16, 128, 24, 0.12
+HIDDEN, LANES, STEPS, RATE = 16, 256, 24, 0.12
 _LN10 = float(np.log(10.0))
 
 
@@ -59,7 +59,11 @@ class Model:
         """The next state, and what the way back needs."""
         k = h.shape[1]
         inner, outer = h @ self.u, self.x[tokens]
-        gates = 1 / (1 + np.exp(-(inner[:, : 2 * k] + outer[:, : 2 * k])))
+        gates = inner[:, : 2 * k] + outer[:, : 2 * k]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
         z, r = gates[:, :k], gates[:, k:]
         m = inner[:, 2 * k :]
         n = np.tanh(outer[:, 2 * k :] + r * m)
@@ -95,11 +99,11 @@ def score(model: Model, tokens: np.ndarray, first: np.ndarray, steps: int = 32)
     out = np.zeros(len(lengths))
     h = np.zeros((len(lengths), model.u.shape[0]), dtype=np.float32)
     last = np.zeros(len(lengths), dtype=np.int64)
-    t, most = 0, int(left[0]) if len(left) else 0
+    t, most, falling = 0, int(left[0]) if len(left) else 0, -left
     while t < most:
         states, targets, owners = [], [], []
         for _ in range(min(steps, most - t)):
-            n = int(np.searchsorted(-left, -t, side="left"))  # texts with more than t tokens
+            n = int(np.searchsorted(falling, -t, side="left"))  # texts with more than t tokens
             h, _ = model.step(h[:n], last[:n])
             last = tokens[at[:n] + t]
             states.append(h), targets.append(last), owners.append(order[:n])

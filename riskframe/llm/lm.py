@@ -179,6 +179,19 @@ def _score(lexicon, model):
     return run
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words with the highest counts: as many steps of a sixteenth of an octave as hold ``most`` words at most."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    steps = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()  # a thousand rows at most
+    low, held = None, 0
+    for row in sorted(steps, key=lambda r: -r["step"]):
+        held += row["words"]
+        if held > most:
+            break
+        low = row["step"]
+    return counts.where(step >= low) if low is not None else counts.limit(0)
+
+
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, broadcast_words: int = BROADCAST_WORDS, rate: float = gru.RATE) -> DataFrame:
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -188,7 +201,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     counts = learned.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = through_table(counts, f"{folder}/counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(broadcast_words).toPandas()  # broadcast_words rows at most
+    top = frequent(counts, broadcast_words).toPandas().sort_values(["n", "word"], ascending=[False, True])  # broadcast_words rows at most
     lexicon = Lexicon(top["word"].to_numpy(dtype=np.int64), top["n"].to_numpy(dtype=np.int64), int(total), int(distinct), vocabulary)
     model = train(learned, lexicon, rate=rate)
 
