@@ -37,7 +37,9 @@ def stream_submissions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_kb_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, size, text and ``errors`` of the files of a folder, in the order of their names."""
+    """path, size, text and ``errors`` of the files of a folder, in the order of their names.
+
+    Files of no bytes never come up: Spark's reader passes over them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     rows = files.select("path", F.col("length").alias("size"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
     return rows.withColumn("errors", ingest_errors(F.col("path"), F.col("size"), F.col("text"))).orderBy("path")
