@@ -47,7 +47,7 @@ WINDOW = 50
 #: At most so many windows have one anchor, so that a segment's verdicts fit in one long.
 SPAN = 35
 #: Suffixes of one prefix that are put into one subtree; a prefix with more is lengthened.
-GROUP = 4096
+GROUP = 1024
 _BATCH = 8192
 _CHUNK = 1 << 18
 
@@ -234,11 +234,12 @@ def _lengthen(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                anchor, seg, doc = (batch.column(c)[i].as_py() for c in (0, 1, 2))
-                prefix = window_hashes(np.frombuffer(batch.column(5)[i].as_py(), dtype=U64), window).view(np.int64)
-                n = len(prefix)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor)), pa.array(np.full(n, seg)), pa.array(np.arange(n, dtype=np.int32)), pa.array(prefix), pa.array(np.full(n, doc))], names=["anchor", "seg", "j", "prefix", "doc"])
+            found = [window_hashes(np.frombuffer(w.as_buffer(), dtype=U64), window).view(np.int64) for w in batch.column(5)]
+            if found:
+                sizes = [len(f) for f in found]
+                anchor, seg, doc = (np.repeat(batch.column(c).to_numpy(), sizes) for c in (0, 1, 2))
+                j = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, seg, j, np.concatenate(found), doc)], names=["anchor", "seg", "j", "prefix", "doc"])
 
     return run
 

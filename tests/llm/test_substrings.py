@@ -36,7 +36,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("group", [4096, 2])
+@pytest.mark.parametrize("group", [S.GROUP, 2])
 def test_against_brute_force(spark, group):
     rows = corpus(3)
     got = S.removal_counts(spark.createDataFrame(rows, "doc_id long, text string"), group=group).collect()
