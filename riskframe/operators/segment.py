@@ -117,3 +117,13 @@ def split_summary(blocks: DataFrame, key: str = "script_id") -> DataFrame:
         F.bool_or("is_preamble").alias("has_preamble"),
         F.bool_or(is_page_fallback(F.col("is_preamble"), F.col("heading_line"))).alias("used_page_fallback"),
     )
+
+
+FALLBACK_WARNING = "no scene markers, pages were taken as scenes"
+
+
+def with_split_warnings(scripts: DataFrame, summary: DataFrame, key: str = "script_id") -> DataFrame:
+    """scripts with the warnings of extraction followed by that of the split, none lost."""
+    split = summary.select(key, F.when(F.col("used_page_fallback"), F.lit(FALLBACK_WARNING)).alias("_split"))
+    given = F.coalesce(F.col("warnings"), F.array().cast("array<string>")) if "warnings" in scripts.columns else F.array().cast("array<string>")
+    return scripts.join(split, key, "left").withColumn("warnings", F.array_compact(F.concat(given, F.array("_split")))).drop("_split")

@@ -176,3 +176,11 @@ def test_markers_and_error_classes(spark):
     assert [b.heading_line for b in blocks] == ["", "INT. / EXT. ROOM", "INNEN HAUS", "12 EXT. STREET"]
     names = spark.createDataFrame([("db.pool.Timeout",), ("db.Error",), ("other",)], "n string")
     assert [r[0] for r in names.select(error_class(F.col("n"), [("db.", "store"), ("db.pool.", "pool")])).collect()] == ["pool", "store", None]
+
+
+def test_warnings_of_pages_and_split_are_joined(spark):
+    pages = spark.createDataFrame([(1, 1, "a page of plain text"), (1, 2, "x"), (1, 3, "another page of text"), (2, 1, "INT. ROOM and a text that is long enough to pass without a word"), (3, 1, "")], "script_id int, page_no int, text string")
+    scripts = assemble_pages(pages)
+    summary = segment.split_summary(segment.split_scenes(scripts.select("script_id", "full_text", "pages"), pages="pages"))
+    got = {r.script_id: r.warnings for r in segment.with_split_warnings(scripts, summary).collect()}
+    assert got == {1: ["very little text, results may be incomplete", "pages without text: 2", segment.FALLBACK_WARNING], 2: [], 3: ["pages without text: 1"]}
