@@ -44,7 +44,7 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a session on a local master that names none (a test) gets a folder of its own."""
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         own = context._jsc.sc().getCheckpointDir()
         if own.isDefined():
