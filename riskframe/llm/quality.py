@@ -180,6 +180,19 @@ def _prune(rule: Rule, table: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     return rule[: max(range(1, len(rule) + 1), key=lambda k: (worth(k), -k))] if rule else rule
 
 
+def _centre(rule: Rule, table: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
+    """The rule with each threshold midway between the rows that it keeps out and those that it is for,
+    so that a text that is only a little beyond the good ones isn't rejected."""
+    for k, c in enumerate(rule):
+        others = _hits(rule[:k] + rule[k + 1 :], table, len(bad))
+        values = table[c.name]
+        inside, outside = values[others & c.holds(values) & bad], values[others & ~c.holds(values)]
+        if len(inside) and len(outside):
+            edge, near = (np.quantile(inside, 0.01), outside.max()) if c.above else (np.quantile(inside, 0.99), outside.min())
+            rule = rule[:k] + (Condition(c.name, c.above, float((edge + near) / 2)),) + rule[k + 1 :]
+    return rule
+
+
 def cover(table: dict[str, np.ndarray], bad: np.ndarray, seed: int = 7) -> list[Rule]:
     """Sequential covering: rules in the order in which they are to be tried."""
     rules: list[Rule] = []
@@ -188,7 +201,7 @@ def cover(table: dict[str, np.ndarray], bad: np.ndarray, seed: int = 7) -> list[
     while len(rules) < MAX_RULES and bad[left].sum() >= MIN_COVERED:
         grow, prune = left & (turn != 0), left & (turn == 0)
         of = lambda rows: ({k: v[rows] for k, v in table.items()}, bad[rows])
-        rule = _prune(_grow(*of(grow)), *of(prune))
+        rule = _centre(_prune(_grow(*of(grow)), *of(prune)), *of(left))
         hit = _hits(rule, table, len(bad)) & left
         if not rule or hit.sum() < MIN_COVERED or bad[hit].mean() < MIN_PRECISION:
             break
