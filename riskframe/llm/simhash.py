@@ -179,13 +179,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     ident, body = (f"c{column_index(docs, c)}" for c in (doc_id, text))
     marked = _marked(docs, doc_id, text, shingle)
     found = cut(classes(marked))
-    named = found.where(F.col("least").isNotNull()).select(F.col("least").cast("long").alias("id"), F.col("component_id").cast("long").alias("to"))
+    named = found.where(F.col("least").isNotNull()).select(F.col("least").cast("long").alias("id"), F.col("component_id").cast("long").alias("to"), F.col("f").alias("fp"))
     leads = named.select(F.col("to").alias("id")).distinct()
     if similarity is not None:
         folder = f"{shared_folder(docs.sparkSession)}/simhash-{uuid.uuid4().hex}"
         rows = pick(docs, id=doc_id, text=text).select(F.col("id").cast("long"), F.col("text").cast("string"))
         named = cut(named)
-        edges = resemblance.similar(rows, named.select("id"), lambda x, name: through_table(x, f"{folder}/{name}"), similarity)
+        edges = resemblance.similar(rows, named.select("id", "fp"), lambda x, name: through_table(x, f"{folder}/{name}"), similarity)
         edges = cut(edges.unionAll(named.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b"))))
         leads = named.select("id").join(components(edges).select(F.col("node").alias("id")), "id", "left_anti")
     kept = df.join(leads, F.col(ident) == F.col("id")).drop("id")
