@@ -46,8 +46,8 @@ from riskframe.llm.words import U64, Words, mix, powers, read_words, slices, win
 WINDOW = 50
 #: At most so many windows have one anchor, so that a segment's verdicts fit in one long.
 SPAN = 35
-#: Suffixes of one prefix that are put into one subtree; a prefix with more is lengthened.
-GROUP = 1024
+#: Suffixes of one prefix that are put into one subtree (11 MB of words); a prefix with more is lengthened.
+GROUP = 16_384
 _BATCH = 8192
 _CHUNK = 1 << 18
 
