@@ -1,7 +1,7 @@
 """Secret scans through nested encodings.
 
 Each text starts a worklist of layers. A layer is scanned; then each decoding that changes it
-(percent escapes, Unicode escapes, base64 words, base64 of compressed data) makes a further layer
+(percent escapes, Unicode escapes, base64 words, also wrapped over lines, base64 of compressed data) makes a further layer
 in which the decoded parts stand in their place, so that a key name outside an encoded value still
 belongs to it. Layers go on the list until nothing new appears; a layer that was seen before (a
 cycle) isn't taken up again. Every character of a layer knows the span of the original text that
@@ -47,7 +47,12 @@ LEAST_VALUE, LEAST_ACCESS = 12, 18
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+_LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+_FULL_LINE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?=\r?\n[\x20\t]*[A-Za-z0-9+/_-])")
+_NEXT_LINE = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/_-]+={0,2})(?![A-Za-z0-9+/_=-])")
+_LINE_BEFORE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+\r?\n[\x20\t]*")
+_PART = re.compile(r"[\s\S]+")
 _STRUCT = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 Span = tuple[int, int, int]  # start, kind, end: in this order they sort as they are reported
@@ -124,7 +129,48 @@ def _escape(m: re.Match, most: int) -> tuple[str, list[tuple[int, int]]] | None:
 
 
 def _base64(m: re.Match, most: int) -> tuple[str, list[tuple[int, int]]] | None:
-    word = m[0].rstrip("=")
+    return _decode64(m[0], range(m.start(), m.end()), most)
+
+
+class Wrapped:
+    """Finds base64 that is wrapped into lines of one length, like a pattern.
+
+    A shorter line before or after may belong to it or be a word of the text, so each is tried with and without."""
+
+    def __init__(self, before: bool, after: bool) -> None:
+        self.before, self.after = before, after
+
+    def finditer(self, text: str) -> Iterator[re.Match]:
+        at = done = 0
+        while (m := _FULL_LINE.search(text, at)) is not None:
+            start, end, width = m.start(), m.end(), m.end() - m.start()
+            while (n := _NEXT_LINE.match(text, end)) is not None:
+                size = n.end(1) - n.start(1)
+                if size == width or (size < width and self.after):
+                    end = n.end()
+                if size != width or n[1].endswith("="):
+                    break
+            if self.before:
+                lo = text.rfind("\n", done, max(done, text.rfind("\n", done, start))) + 1
+                for n in _LINE_BEFORE.finditer(text, max(done, lo), start):
+                    if n.end() == start and len(n[0].rstrip()) < width:
+                        start = n.start()
+                        break
+            at = end
+            if "\n" in text[start:end]:
+                yield _PART.match(text, start, end)
+                done = end
+
+
+def _wrapped(m: re.Match, most: int) -> tuple[str, list[tuple[int, int]]] | None:
+    """The lines joined; each character keeps its place."""
+    at_of = [i for x in _LINE.finditer(m[0]) for i in range(m.start() + x.start(), m.start() + x.end())]
+    return _decode64("".join(_LINE.findall(m[0])), at_of, most)
+
+
+def _decode64(run: str, at_of, most: int) -> tuple[str, list[tuple[int, int]]] | None:
+    """What a run of base64 says, with spans; at_of[i] is where its i-th character stands."""
+    word = run.rstrip("=")
     if len(word) % 4 == 1:
         return None
     try:
@@ -141,16 +187,16 @@ def _base64(m: re.Match, most: int) -> tuple[str, list[tuple[int, int]]] | None:
     if text is None:
         return None
     if inner is not None:
-        return text, [(m.start(), m.end())] * len(text)
+        return text, [(at_of[0], at_of[-1] + 1)] * len(text)
     spans, at = [], 0
     for c in text:
         n = len(c.encode())
-        spans.append((m.start() + at // 3 * 4 + at % 3, min(m.end(), m.start() + (at + n + 2) // 3 * 4)))
+        spans.append((at_of[at // 3 * 4 + at % 3], at_of[min(len(run), (at + n + 2) // 3 * 4) - 1] + 1))
         at += n
     return text, spans
 
 
-DECODERS = ((_PERCENT, _percent, "%"), (_ESCAPE, _escape, None), (_BASE64, _base64, None))
+DECODERS = ((_PERCENT, _percent, "%"), (_ESCAPE, _escape, None), (_BASE64, _base64, None), *((Wrapped(before, after), _wrapped, "\n") for before in (False, True) for after in (False, True)))
 
 
 class Layer:

@@ -60,6 +60,32 @@ def test_compressed_layers(pack):
     assert [k for k, _ in kinds(f"blob {inner} end") if k == "access"] == ["access"]
 
 
+@pytest.mark.parametrize("around", ["data={}", "CFG={}", "https://h/p?d={}&e=1", "https://h/p?e=1&d={}", "d%3D{}", "x=={}", '{{"a":"{}"}}'])
+def test_base64_after_an_equals_sign(around):
+    for plain in (f"id {KEY} end", f"ids {KEY}", f"an id {KEY}"):
+        text = around.format(b64(plain))
+        assert [k for k, _ in kinds(text)] == ["access"]
+        packed = around.format(b64(gzip.compress(plain.encode())))
+        assert [k for k, _ in kinds(packed)] == ["access"]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    "])
+@pytest.mark.parametrize("width", [64, 76])
+def test_wrapped_base64(end, width):
+    wrap = lambda s: end.join(s[i : i + width] for i in range(0, len(s), width))
+    plain = "some words before it, " * 2 + f"{KEY} and " + "words behind it, " * 6
+    text = "data: " + wrap(b64(plain)) + " end"
+    spans = [x for x in S.scan_text(text)[1] if x[1] == 1]
+    assert len(spans) == 1
+    run = "".join(text[spans[0][0] : spans[0][2]].split())
+    assert run in b64(plain) and KEY.encode() in base64.b64decode(b64(plain)[b64(plain).index(run) // 4 * 4 :])
+    noise = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(9))
+    packed = wrap(b64(gzip.compress(f"{noise} {KEY} {noise}".encode())))
+    assert ("access", packed) in kinds("blob\n" + packed + "\nend of it")
+    folded = wrap("folded=" + b64(gzip.compress(f"{noise} {KEY} {noise}".encode())))
+    assert ("access", folded[7:]) in kinds(f"a {folded}{end}")
+
+
 def test_bombs_are_reported_and_cycles_end():
     bomb = b64(zlib.compress(b"a" * 1_000_000))
     assert ("packed", bomb) in [(S.KINDS[k], f"x {bomb}"[a:b]) for a, k, b in S.scan_text(f"x {bomb}", most=10_000)[1]]
