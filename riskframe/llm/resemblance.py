@@ -2,18 +2,22 @@
 
 Two texts with a Jaccard similarity of 0.8 on five-word shingles differ in four to thirteen bits of
 their SimHash fingerprints, and no index of 64 bits finds such pairs without going through most of
-all pairs. But they have at most one change in some 45 words, so they share long runs of words, and
-with them anchors: the 8-gram of the smallest hash in each 18 neighbouring ones. Texts that share an
-anchor are candidates, in a number that grows with the anchors and not with their pairs: each is
-held against the list's most typical text (the one whose anchors are shared most, which is the
-source of the others in a group of copies) and against its neighbours in the order of length.
-Candidates whose fingerprints differ in more than 24 bits are dropped (texts of this similarity differ in ten
-bits on average, with a deviation of three; unrelated ones in 32), and what is left is verified by the
-exact similarity of the whole shingle sets.
+all pairs. But they have at most one change in some 40 words, so long texts share runs of 25 words, and
+with them anchors: the 8-gram of the smallest hash in each 18 neighbouring ones.
+
+Texts that share an anchor are candidates, in two rounds. In the first, each is held against the list's
+most typical text (the one whose anchors are shared most, which is the source of the others in a group
+of copies) and against its neighbours in the order of length. This joins most groups. In the second, the
+members of each list that are still in different components are held against each other, all pairs whose
+numbers of different shingles allow the similarity, in blocks of a bounded size. A pair that is then in
+different components shares no anchor, was verified and found too unlike, or differs in more than 24 bits of
+the fingerprints (texts of this similarity differ in ten bits on average, with a deviation of three;
+unrelated ones in 32). Candidates are verified by the exact similarity of the whole shingle sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +29,14 @@ from riskframe.llm.words import mix, read_words, slices, window_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 GRAM, SPREAD, NEIGHBOURS = 8, 18, 4
+#: Texts on either side of a block of the second round.
+BLOCK = 2048
 #: Bits in which the fingerprints of a candidate may differ before its shingles are looked at.
 MOST_BITS = 24
 #: So many ids of candidates are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _CHUNK = 1 << 18
+_SLACK = 1e-9
 
 
 def anchors(hashes: np.ndarray) -> np.ndarray:
@@ -48,7 +55,12 @@ def shingle_set(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """The distinct shingles of one text, 64 bits each; a text of fewer words is one shingle."""
     if not len(hashes):
         return hashes
-    return np.unique(window_hashes(hashes, size)) if len(hashes) >= size else mix(hashes.sum(keepdims=True))
+    return np.unique(window_hashes(hashes, min(size, len(hashes))))
+
+
+def filings(hashes: np.ndarray, own: np.ndarray, similarity: float) -> np.ndarray:
+    """What a text with the shingle set ``own`` is filed under."""
+    return anchors(hashes)
 
 
 def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -60,27 +72,41 @@ def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + d, hashes[words.first[d] : words.first[d + 1]]
 
 
-def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, sizes, found = [], [], []
-        for row, hashes in _each(batch):
-            own = anchors(hashes)
-            rows.append(np.full(len(own), row))
-            sizes.append(np.full(len(own), max(1, len(hashes) - SHINGLE + 1), dtype=np.int32))
-            found.append(own)
-        if found:
-            at = pa.array(np.concatenate(rows).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(found).view(np.int64))], names=["id", "size", "gram"])
+def _file(similarity: float, shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sizes, found = [], [], []
+            for row, hashes in _each(batch):
+                if not len(hashes):
+                    continue
+                own = shingle_set(hashes, shingle)
+                filed = filings(hashes, own, similarity)
+                rows.append(np.full(len(filed), row))
+                sizes.append(np.full(len(filed), len(own), dtype=np.int32))
+                found.append(filed)
+            if found:
+                at = pa.array(np.concatenate(rows).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(found).view(np.int64))], names=["id", "size", "gram"])
+
+    return run
 
 
-def candidates(filed: DataFrame) -> DataFrame:
-    """(a, b) with a < b from rows (id, size, gram) of different texts."""
+def in_lists(filed: DataFrame) -> DataFrame:
+    """The rows (id, size, gram) whose gram others have too, with ``typical``, the share of such grams of the text."""
     lists = filed.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = filed.join(lists.select("gram"), "gram")
     typical = shared.groupBy("id").agg(F.count(F.lit(1)).alias("hits")).join(filed.groupBy("id").agg(F.count(F.lit(1)).alias("all")), "id")
-    typical = typical.select("id", (F.col("hits") / F.col("all")).alias("typical"))
-    rated = shared.join(typical, "id")
-    lead = rated.groupBy("gram").agg(F.max(F.struct("typical", (-F.col("id")).alias("i"), "size")).alias("l"))
+    return shared.join(typical.select("id", (F.col("hits") / F.col("all")).alias("typical")), "id")
+
+
+def _alike(a, b, similarity: float):
+    """Whether sets of so many shingles can be of that similarity."""
+    return F.least(a, b) >= similarity * F.greatest(a, b) - _SLACK
+
+
+def candidates(shared: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """First round: (a, b) with a < b from rows (id, size, gram, typical) of different texts."""
+    lead = shared.groupBy("gram").agg(F.max(F.struct("typical", (-F.col("id")).alias("i"), "size")).alias("l"))
     lead = lead.select("gram", (-F.col("l.i")).alias("other"), F.col("l.size").alias("other_size"))
     to_lead = shared.join(lead, "gram").select("id", "size", "other", "other_size")
     beside = Window.partitionBy("gram", "part").orderBy("size", "id")  # lengths of one part are alike; long lists are dealt out by length
@@ -88,9 +114,33 @@ def candidates(filed: DataFrame) -> DataFrame:
     near = shared.withColumn("part", F.explode(F.array(part, part - 1)))
     others = F.array(*[F.lag(F.struct("id", "size"), k).over(beside) for k in range(1, NEIGHBOURS + 1)])
     near = near.withColumn("others", others).select("id", "size", F.explode(F.array_compact("others")).alias("o")).select("id", "size", F.col("o.id").alias("other"), F.col("o.size").alias("other_size"))
-    both = to_lead.union(near).where(F.col("id") != F.col("other"))
-    alike = F.least("size", "other_size") >= 0.75 * F.greatest("size", "other_size")  # distinct shingles may be a little fewer
-    return both.where(alike).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    both = to_lead.union(near).where(F.col("id") != F.col("other")).where(_alike(F.col("size"), F.col("other_size"), similarity))
+    return both.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def remaining(shared: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Second round: all pairs (a, b) with a < b of a list whose texts can be alike and are in different components.
+
+    ``known`` has a row (id, fp, comp) for each text. A list is dealt out by bands of size, of which two alike
+    texts have the same or neighbouring ones, and each band in blocks."""
+    band = F.floor(F.log(F.col("size").cast("double")) / (math.log(1 / similarity) + 0.01)).cast("int")
+    rows = shared.select("id", "size", "gram").join(known, "id").withColumn("band", band)
+    either = rows.withColumn("part", F.explode(F.array("band", F.col("band") - 1)))
+    load = either.groupBy("gram", "part").agg(F.count_if(F.col("band") == F.col("part")).alias("n"), F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    load = load.where("n > 0 AND lo < hi").select("gram", "part", F.ceil(F.col("n") / BLOCK).cast("int").alias("x_blocks"), F.ceil(F.col("m") / BLOCK).cast("int").alias("y_blocks"))
+    slot = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    key = ["gram", "part", "x_block", "y_block"]
+    fields = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("id", "size", "fp", "comp", "band")]
+    x = rows.withColumn("part", F.col("band")).join(load, ["gram", "part"]).withColumn("x_block", slot("x_blocks"))
+    x = x.select("gram", "part", "x_block", every("y_blocks").alias("y_block"), *fields("x"))
+    y = either.join(load, ["gram", "part"]).withColumn("y_block", slot("y_blocks"))
+    y = y.select("gram", "part", every("x_blocks").alias("x_block"), "y_block", *fields("y"))
+    near = F.bit_count(F.col("fp_x").bitwiseXOR(F.col("fp_y"))) <= MOST_BITS
+    once = (F.col("band_x") != F.col("band_y")) | (F.col("id_x") < F.col("id_y"))
+    on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in key]
+    pairs = x.alias("l").join(y.alias("r"), [*on, F.col("comp_x") != F.col("comp_y"), once, _alike(F.col("size_x"), F.col("size_y"), similarity), near])
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def _sets(wanted, size: int):
@@ -117,20 +167,33 @@ def _verify(similarity: float):
     return run
 
 
-def similar(docs: DataFrame, ids: DataFrame, through, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """Verified links (a, b) between documents (id long, text) whose id is in ``ids`` (id distinct, fp).
-
-    ``through(df, name)`` writes a table of the shared folder and reads it back."""
-    filed = docs.where("id is not null").mapInArrow(_file, "id long, size int, gram long")
-    filed = through(filed.join(ids, "id", "left_semi"), "anchors")
-    prints = lambda side: ids.select(F.col("id").alias(side), F.col("fp").alias(f"fp_{side}"))
-    pairs = candidates(filed).join(prints("a"), "a").join(prints("b"), "b")
-    pairs = through(pairs.where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= MOST_BITS).select("a", "b"), "candidates")
+def _verified(pairs: DataFrame, docs: DataFrame, through, similarity: float, shingle: int, name: str) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     few = wanted.count() <= BROADCAST_IDS
     picked = docs.where("id is not null") if few else docs.join(wanted, "id", "left_semi")
     known = docs.sparkSession.sparkContext.broadcast(wanted.toPandas()["id"].to_numpy(dtype=np.int64)) if few else None  # BROADCAST_IDS at most
-    sets = through(picked.mapInArrow(_sets(known, shingle), "id long, shingles binary").dropDuplicates(["id"]), "shingles")
+    sets = through(picked.mapInArrow(_sets(known, shingle), "id long, shingles binary").dropDuplicates(["id"]), f"shingles-{name}")
     first = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("p")), "a")
     whole = first.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("q")), "b").select("a", "b", "p", "q")
-    return whole.mapInArrow(_verify(similarity), "a long, b long")
+    return through(whole.mapInArrow(_verify(similarity), "a long, b long"), f"links-{name}")
+
+
+def similar(docs: DataFrame, ids: DataFrame, through, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """Verified links (a, b) between documents (id long, text) whose id is in ``ids`` (id distinct, fp, to: a text it
+    is joined with already): with those of ``ids``, enough to connect all that are alike.
+
+    ``through(df, name)`` writes a table of the shared folder and reads it back."""
+    from riskframe.llm.simhash import components
+
+    filed = docs.where("id is not null").mapInArrow(_file(similarity, shingle), "id long, size int, gram long")
+    filed = through(filed.join(ids, "id", "left_semi"), "anchors")
+    shared = through(in_lists(filed), "lists")
+    prints = lambda side: ids.select(F.col("id").alias(side), F.col("fp").alias(f"fp_{side}"))
+    pairs = candidates(shared, similarity).join(prints("a"), "a").join(prints("b"), "b")
+    pairs = through(pairs.where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= MOST_BITS).select("a", "b"), "candidates")
+    links = _verified(pairs, docs, through, similarity, shingle, "first")
+
+    joined = components(links.unionAll(ids.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b"))))
+    known = ids.join(joined, F.col("id") == F.col("node"), "left").select("id", "fp", F.coalesce("root", "id").alias("comp"))
+    rest = through(remaining(shared, known, similarity).join(pairs, ["a", "b"], "left_anti"), "remaining")
+    return links.unionAll(_verified(rest, docs, through, similarity, shingle, "second"))

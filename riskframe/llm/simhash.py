@@ -173,19 +173,21 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
 
     A group is a component of fingerprints within two bits; such components are further joined by
     links between texts with at least the given similarity on five-word shingles, unless it is None.
-    There each different fingerprint stands for all texts that have it.
+    Copies of a text ride along with it; different texts of one fingerprint are compared each on its own.
     If all ids of a component of fingerprints are null, one of its rows stays as well."""
     df, names = numbered(docs)
     ident, body = (f"c{column_index(docs, c)}" for c in (doc_id, text))
-    marked = _marked(docs, doc_id, text, shingle)
+    marked = pick(docs, id=doc_id, text=text).withColumn("body", F.xxhash64(F.col("text").cast("string")))
+    marked = cut(with_fingerprints(marked, "text", keep_text=False, shingle=shingle))
     found = cut(classes(marked))
     named = found.where(F.col("least").isNotNull()).select(F.col("least").cast("long").alias("id"), F.col("component_id").cast("long").alias("to"), F.col("f").alias("fp"))
     leads = named.select(F.col("to").alias("id")).distinct()
     if similarity is not None:
         folder = f"{shared_folder(docs.sparkSession)}/simhash-{uuid.uuid4().hex}"
         rows = pick(docs, id=doc_id, text=text).select(F.col("id").cast("long"), F.col("text").cast("string"))
-        named = cut(named)
-        edges = resemblance.similar(rows, named.select("id", "fp"), lambda x, name: through_table(x, f"{folder}/{name}"), similarity)
+        bodies = marked.where("id is not null").groupBy("fp", "body").agg(F.min("id").cast("long").alias("id"))
+        named = cut(bodies.join(named.select("to", F.col("fp").alias("f")), F.col("fp") == F.col("f")).select("id", "to", "fp"))
+        edges = resemblance.similar(rows, named, lambda x, name: through_table(x, f"{folder}/{name}"), similarity)
         edges = cut(edges.unionAll(named.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b"))))
         leads = named.select("id").join(components(edges).select(F.col("node").alias("id")), "id", "left_anti")
     kept = df.join(leads, F.col(ident) == F.col("id")).drop("id")

@@ -93,6 +93,33 @@ def test_near_copies_are_found_and_others_stay(spark):
     assert sorted(r.doc_id for r in S.keep_one(docs, similarity=None).collect()) != sorted(set(want.values()))
 
 
+def kept_by_brute_force(text):
+    """The smallest id of each component over all pairs within two bits or of 0.8 and more."""
+    prints = {i: fingerprint(t) for i, t in text.items()}
+    want = joined(sorted(text), lambda a, b: bin(prints[a] ^ prints[b]).count("1") <= 2 or jaccard(text[a], text[b]) >= 0.8)
+    return sorted(set(want.values()))
+
+
+def test_a_large_group_of_edited_copies_without_its_source(spark):
+    """Lists of hundreds of equally long texts that resemble each other in pairs that no order shows."""
+    rng = random.Random(5)
+    source, text = [f"w{rng.randrange(3000)}" for _ in range(120)], {}
+    for i in range(300):
+        copy = list(source)
+        for at in rng.sample(range(len(copy)), 2):
+            copy[at] = f"new{rng.randrange(10**6)}"
+        text[i] = " ".join(copy)
+    docs = spark.createDataFrame(sorted(text.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == kept_by_brute_force(text)
+
+
+def test_blocks_of_a_list_meet(spark, monkeypatch):
+    from riskframe.llm import resemblance
+
+    monkeypatch.setattr(resemblance, "BLOCK", 3)
+    test_a_large_group_of_edited_copies_without_its_source(spark)
+
+
 def test_joins_beyond_the_broadcast_bound(spark, data, monkeypatch):
     from riskframe.llm import resemblance
 
