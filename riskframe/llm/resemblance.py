@@ -3,7 +3,9 @@
 Two texts with a Jaccard similarity of 0.8 on five-word shingles differ in four to thirteen bits of
 their SimHash fingerprints, and no index of 64 bits finds such pairs without going through most of
 all pairs. But they have at most one change in some 40 words, so long texts share runs of 25 words, and
-with them anchors: the 8-gram of the smallest hash in each 18 neighbouring ones.
+with them anchors: the 8-gram of the smallest hash in each 18 neighbouring ones. Texts of at most 64
+different shingles may share no such run; they file a prefix instead, their smallest shingles by hash,
+so many that two sets of the wanted similarity must share one of them.
 
 Texts that share an anchor are candidates, in two rounds. In the first, each is held against the list's
 most typical text (the one whose anchors are shared most, which is the source of the others in a group
@@ -29,6 +31,8 @@ from riskframe.llm.words import mix, read_words, slices, window_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 GRAM, SPREAD, NEIGHBOURS = 8, 18, 4
+#: Different shingles up to which a text files a prefix of its shingles; with more, two near copies share a run of 25 words.
+SHORT = 64
 #: Texts on either side of a block of the second round.
 BLOCK = 2048
 #: Bits in which the fingerprints of a candidate may differ before its shingles are looked at.
@@ -60,7 +64,12 @@ def shingle_set(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
 
 def filings(hashes: np.ndarray, own: np.ndarray, similarity: float) -> np.ndarray:
     """What a text with the shingle set ``own`` is filed under."""
-    return anchors(hashes)
+    found = []
+    if len(own) * similarity <= SHORT:  # so that the longer one of a pair has its prefix too
+        found.append(own[: len(own) - math.ceil(similarity * len(own) - _SLACK) + 1])
+    if len(own) > SHORT:
+        found.append(anchors(hashes))
+    return np.unique(np.concatenate(found))
 
 
 def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:

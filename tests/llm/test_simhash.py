@@ -120,6 +120,21 @@ def test_blocks_of_a_list_meet(spark, monkeypatch):
     test_a_large_group_of_edited_copies_without_its_source(spark)
 
 
+def test_short_near_copies_are_found(spark):
+    """Texts of 8 to 50 words with a word changed or added at an edge or dropped within."""
+    rng = random.Random(7)
+    rows = []
+    for size in range(4, 51):
+        for _ in range(6):
+            source = [f"w{rng.randrange(30000)}" for _ in range(size)]
+            rows += [source, rng.choice([[*source, "more"], ["more", *source], [*source[:-1], "more"], ["more", *source[1:]], [*source[: size // 2], *source[size // 2 + 1 :]], [*source[1:], *source[:1]]])]
+    rows += [["b", "a"], ["a", "b"]]
+    rng.shuffle(rows)
+    text = {i: " ".join(w) for i, w in enumerate(rows)}
+    docs = spark.createDataFrame(sorted(text.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == kept_by_brute_force(text)
+
+
 def test_joins_beyond_the_broadcast_bound(spark, data, monkeypatch):
     from riskframe.llm import resemblance
 
