@@ -87,15 +87,14 @@ def build_index(chunks: DataFrame, folder: str, dim: int, pivots: int | None = N
 
     placed = good.mapInPandas(assign, f"{_fields(good, 'chunk_id', 'tenant_id', 'embedding')}, cell int, r double")
     placed.write.parquet(f"{folder}/placed")
-    cells = spark.read.parquet(f"{folder}/placed").groupBy("tenant_id", "cell").agg(F.count("*").alias("n"), F.max("r").alias("radius"))
-    cells.write.parquet(f"{folder}/cells")
+    _cells(spark.read.parquet(f"{folder}/placed")).write.parquet(f"{folder}/cells")
     return Index(folder, dim, centres)
 
 
-def _route(queries: DataFrame, index: Index, k: int, block: int, probes: int | None) -> DataFrame:
+def _route(queries: DataFrame, index: Index, cells: DataFrame, k: int, block: int, probes: int | None) -> DataFrame:
     """Each query with the cells that it has to look into: at home first, others with a lower bound."""
     spark = queries.sparkSession
-    cells = index.read(spark, "cells").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    cells = cells.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     known = cells.groupBy("tenant_id").agg(F.collect_list(F.struct("cell", "n", "radius", "blocks")).alias("cells"))  # MAX_PIVOTS at most
     shared = spark.sparkContext.broadcast(index.pivots)
 
@@ -163,16 +162,26 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn(queries: DataFrame, index: Index, k: int, probes: int | None = None, block: int = BLOCK) -> DataFrame:
+def _cells(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("tenant_id", "cell").agg(F.count("*").alias("n"), F.max("r").alias("radius"))
+
+
+def knn(queries: DataFrame, index: Index, k: int, probes: int | None = None, block: int = BLOCK, among: DataFrame | None = None) -> DataFrame:
     """``queries(query_id, tenant_id, embedding)`` against the index, each within its tenant:
-    query_id, chunk_id, distance, rank (1..k). Nothing runs until the result is asked for."""
+    query_id, chunk_id, distance, rank (1..k). Nothing runs until the result is asked for.
+
+    With ``among(chunk_id)`` the index is taken to hold these chunks only."""
     spark = queries.sparkSession
-    placed = index.read(spark, "placed").drop("r")
+    placed = index.read(spark, "placed")
+    if among is not None:
+        placed = placed.join(among.select("chunk_id"), "chunk_id", "left_semi")
+    cells = index.read(spark, "cells") if among is None else _cells(placed)
+    placed = placed.drop("r")
     ids = f"{_fields(queries, 'query_id')}, {_fields(placed, 'chunk_id')}, distance double"
     if k <= 0:
         return spark.createDataFrame([], ids + ", rank int")
     usable = queries.select("query_id", "tenant_id", "embedding").where(reject_reason(F.col("embedding"), index.dim).isNull())
-    routed = _route(usable, index, k, block, probes)
+    routed = _route(usable, index, cells, k, block, probes)
     near = _ranked(_compare(routed.where("home"), placed, k, block, ids), k)
     if probes:
         return near
@@ -199,12 +208,11 @@ def nearest_to_one(chunks: DataFrame, query: list[float], k: int) -> DataFrame:
 
 
 def search(queries: DataFrame, docs: DataFrame, chunks: DataFrame, index: Index, now, k: int, **options) -> DataFrame:
-    """Hits among the live chunks of the tenant, with title, tags and text of the hit.
+    """The k nearest of the tenant's live chunks, with title, tags and text of the hit.
 
-    The index holds all chunks; what has expired since is dropped from the hits, so ask for a larger
-    k where much has expired, or build the index anew."""
+    The index holds all chunks; those whose document has expired or is gone are left out before the k are taken."""
     from riskframe.operators.knowledge import is_live
 
     live = docs.where(is_live(now)).select("doc_id", "title", "tags")
-    hits = knn(queries, index, k, **options)
-    return hits.join(chunks.select("chunk_id", "doc_id", "chunk_text"), "chunk_id").join(live, "doc_id")
+    found = chunks.select("chunk_id", "doc_id", "chunk_text").join(live, "doc_id")
+    return knn(queries, index, k, among=found, **options).join(found, "chunk_id")

@@ -1,6 +1,7 @@
 """Cases of their own: what must not be dropped, cut, or depend on size."""
 
 import base64
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -93,6 +94,29 @@ def test_listing_is_newest_first_with_total(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_search_takes_the_nearest_live_chunks(spark, tmp_path):
+    """The chunks next to every query have expired, and a whole cluster has."""
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(400, 8)) + 3 * rng.normal(size=(6, 8))[np.arange(400) % 6]
+    expired = (np.arange(400) % 6 == 0) | (rng.random(400) < 0.5)
+    chunks = spark.createDataFrame([(i, i % 2, i, f"text {i}", p.tolist()) for i, p in enumerate(points)], "chunk_id long, tenant_id long, doc_id long, chunk_text string, embedding array<double>")
+    until = [datetime(2024, 1, 1) if e else datetime(2026, 1, 1) for e in expired]
+    docs = spark.createDataFrame([(i, f"title {i}", ["x"], t) for i, t in enumerate(until) if i != 5], "doc_id long, title string, tags array<string>, expires_at timestamp")
+    index = nearest.build_index(chunks, str(tmp_path / "index"), 8)
+    queries = chunks.where("chunk_id % 10 = 0").select(F.col("chunk_id").alias("query_id"), "tenant_id", "embedding")
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    want = {}
+    for q in range(0, 400, 10):
+        same = np.array([i for i in range(q % 2, 400, 2) if not expired[i] and i != 5])
+        d = np.round(1 - unit[same] @ unit[q], 12)
+        want[q] = same[np.lexsort((same, d))][:7].tolist()
+    got = {}
+    for r in nearest.search(queries, docs, chunks, index, F.lit(datetime(2025, 1, 1)), 7).orderBy("query_id", "rank").collect():
+        assert r.title == f"title {r.chunk_id}" and r.chunk_text == f"text {r.chunk_id}"
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert got == want
+
+
 def test_nearest_exact_and_probed(spark, tmp_path):
     rng = np.random.default_rng(4)
     points = rng.normal(size=(900, 16)) + 3 * rng.normal(size=(12, 16))[rng.integers(0, 12, 900)]
