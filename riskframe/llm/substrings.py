@@ -56,14 +56,27 @@ def gram_of(window: int) -> int:
     return max(1, window - SPAN + 1)
 
 
+def _borders(first: np.ndarray) -> list[int]:
+    """Where chunks of at most _CHUNK words begin and end: a text that is cut is so at multiples from its own first word,
+    so that its segments don't depend on its neighbours."""
+    out = [0]
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        if b - out[-1] > _CHUNK and a > out[-1]:
+            out.append(a)
+        while b - out[-1] > _CHUNK:
+            out.append(out[-1] + _CHUNK)
+    return [*out, int(first[-1])]
+
+
 class Segments:
     """The segments of a slice's texts: lo..hi are the first words of the windows that have the anchor."""
 
     def __init__(self, words: Words, window: int) -> None:
         hashes, valid, k = words.hashes(), words.whole_windows(window), gram_of(window)
         lo, hi, at, anchor, ident = [], [], [], [], []
-        for c in range(0, len(valid), _CHUNK):
-            part, ok = hashes[c : c + _CHUNK + window - 1], valid[c : c + _CHUNK]
+        borders = _borders(words.first)
+        for c, e in zip(borders[:-1], borders[1:]):
+            part, ok = hashes[c : e + window - 1], valid[c:e]
             starts = np.flatnonzero(ok)
             if not len(starts):
                 continue

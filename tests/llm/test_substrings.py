@@ -1,9 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import odd
 import pytest
 from riskframe.llm import substrings as S
+from riskframe.llm.words import read_words
 
 
 def brute(rows, window):
@@ -50,6 +52,23 @@ def test_other_windows_and_chunks(spark, monkeypatch):
         assert sorted(map(tuple, got), key=repr) == sorted(brute(rows, window), key=repr)
 
 
+def test_segments_depend_on_their_own_text_alone():
+    """Texts of one-character words, together longer than a chunk and one of them alone so, in two row orders."""
+    rng = np.random.default_rng(6)
+    texts = [b" ".join(rng.choice([b"0", b"1", b"2", b"a", b"b"], n).tolist()) for n in (120_000, 90_001, 110_000, 300_000, 70, 95_000)]
+
+    def found(order):
+        offsets = np.cumsum([0, *(len(texts[i]) for i in order)])
+        words = read_words(np.frombuffer(b"".join(texts[i] for i in order), dtype=np.uint8), offsets)
+        got = S.Segments(words, 50)
+        covered = sum(int((got.hi - got.lo + 1)[got.text == d].sum()) for d in range(len(order)))
+        assert covered == sum(len(texts[i].split()) - 49 for i in order)
+        return {i: list(zip(got.anchor[got.text == d].tolist(), got.ident[got.text == d].tolist())) for d, i in enumerate(order)}
+
+    alone = {i: found([i])[i] for i in range(len(texts))}
+    assert found([0, 1, 2, 3, 4, 5]) == alone and found([5, 3, 0, 4, 2, 1]) == alone
+
+
 def test_cleaned_text(spark):
     passage = " ".join(f"p{i}" for i in range(55))
     docs = spark.createDataFrame([(1, f"start {passage} end", "x"), (2, f"Other,\n{passage} tail here", "y"), (3, None, "z")], "doc_id long, text string, n_removed string")
