@@ -131,19 +131,22 @@ class Trainer:
         """One pass over a stream of tokens; ``starts`` marks the first token of each text.
 
         The stream is cut into lanes that run side by side; the state of a lane goes from window to
-        window and begins anew with each text."""
-        length = len(tokens) // lanes
-        if length == 0:
-            lanes, length = 1, len(tokens)
+        window and begins anew with each text. Lanes are filled up behind the last token with places
+        that are not learned from."""
+        if not len(tokens):
+            return
+        if len(tokens) < lanes:
+            lanes = 1
+        length = -(-len(tokens) // lanes)
         inputs = np.concatenate(([0], tokens[:-1]))
         inputs[starts] = 0
-        cut = lambda a: a[: lanes * length].reshape(lanes, length)
-        x, y, new = cut(inputs), cut(tokens), cut(starts)
+        cut = lambda a: np.concatenate((a, np.zeros(lanes * length - len(a), dtype=a.dtype))).reshape(lanes, length)
+        x, y, new, real = cut(inputs), cut(tokens), cut(starts), cut(np.ones(len(tokens), dtype=bool))
         h = np.zeros((lanes, self.m.u.shape[0]), dtype=np.float32)
         for t in range(0, length, steps):
-            h = self._window(h, x[:, t : t + steps], y[:, t : t + steps], new[:, t : t + steps])
+            h = self._window(h, x[:, t : t + steps], y[:, t : t + steps], new[:, t : t + steps], real[:, t : t + steps])
 
-    def _window(self, h: np.ndarray, x: np.ndarray, y: np.ndarray, new: np.ndarray) -> np.ndarray:
+    def _window(self, h: np.ndarray, x: np.ndarray, y: np.ndarray, new: np.ndarray, real: np.ndarray | None = None) -> np.ndarray:
         m, (lanes, n), k = self.m, x.shape, h.shape[1]
         before, states, kept = [], [], []
         for t in range(n):
@@ -152,7 +155,13 @@ class Trainer:
             h, inside = m.step(h, x[:, t])
             states.append(h)
             kept.append(inside)
-        grads = self._output(np.concatenate(states), y.T.ravel()).reshape(n, lanes, k)
+        if real is None or real.all():
+            grads = self._output(np.concatenate(states), y.T.ravel()).reshape(n, lanes, k)
+        else:  # places without a token have no loss, and none comes back to them
+            there = real.T.ravel()
+            grads = np.zeros((n * lanes, k), dtype=np.float32)
+            grads[there] = self._output(np.concatenate(states)[there], y.T.ravel()[there])
+            grads = grads.reshape(n, lanes, k)
         back = np.zeros_like(h)
         into = np.empty((n, lanes, 3 * k), dtype=np.float32)
         du = np.zeros_like(m.u)

@@ -76,6 +76,27 @@ def test_gradients(monkeypatch):
             assert moves[name][at] * scale[name] == pytest.approx(slope, abs=0.02 + 0.05 * abs(slope)), name
 
 
+@pytest.mark.parametrize("n", [1, 200, 256, 500, 7001])
+def test_every_token_is_learned_from(monkeypatch, n):
+    rng, seen, output = np.random.default_rng(n), [], gru.Trainer._output
+    tokens, starts = rng.integers(0, 9, n), rng.random(n) < 0.1
+    monkeypatch.setattr(gru.Trainer, "_output", lambda self, h, y: (seen.extend(y.tolist()), output(self, h, y))[1])
+    gru.Trainer(model(9)).run(tokens, starts)
+    assert Counter(seen) == Counter(tokens.tolist())
+
+
+def test_places_without_a_token_move_nothing():
+    x, y = np.array([[0, 3, 5], [0, 1, 0]]), np.array([[3, 5, 2], [1, 8, 0]])
+    new, real = np.array([[1, 0, 0], [1, 0, 0]], dtype=bool), np.array([[1, 1, 1], [1, 1, 0]], dtype=bool)
+    moved = []
+    for other in (0, 7):
+        x[1, 2] = y[1, 2] = other
+        m = model(9)
+        gru.Trainer(m)._window(np.zeros((2, 4), dtype=np.float32), x, y, new, real)
+        moved.append(m.to_bytes())
+    assert moved[0] == moved[1]
+
+
 def test_query_against_brute_force(spark, data):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     tokens = {d: [*odd.spaced(odd.lower(t)), None] for d, t in text.items()}
