@@ -378,11 +378,13 @@ def _labels_of_layout(page: Page, main: list[str]) -> np.ndarray:
 
 
 def learn(pages: DataFrame, docs: DataFrame, fit_pages: int = FIT_PAGES) -> boosting.Trees:
-    """Trees from at most ``fit_pages`` of pages (html, doc_id) whose document is in docs (doc_id, text)."""
-    known = pages.where("doc_id is not null and html is not null")
-    chosen = known.orderBy(F.xxhash64("doc_id", "html"), "doc_id").limit(fit_pages).select("doc_id", F.substring("html", 1, FIT_CHARS).alias("html"))
+    """Trees from at most ``fit_pages`` of pages (html, doc_id) whose document is in docs (doc_id, text).
+
+    Pages and documents are read whole; one of over ``FIT_CHARS`` characters isn't fitted on."""
+    known = pages.where("doc_id is not null").where(F.length("html") <= FIT_CHARS)
+    chosen = known.orderBy(F.xxhash64("doc_id", "html"), "doc_id").limit(fit_pages).select("doc_id", "html")
     both = docs.join(F.broadcast(chosen), "doc_id")  # fit_pages rows of FIT_CHARS at most
-    rows = both.select("doc_id", "html", F.substring("text", 1, FIT_CHARS).alias("text")).toPandas().sort_values(["doc_id", "html"])
+    rows = both.where(F.coalesce(F.length("text"), F.lit(0)) <= FIT_CHARS).select("doc_id", "html", "text").toPandas().sort_values(["doc_id", "html"])
     return fit(list(zip(rows["html"], rows["text"].fillna(""))))
 
 

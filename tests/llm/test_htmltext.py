@@ -14,6 +14,16 @@ def trees(spark, data):
     return H.learn(named, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), fit_pages=120)
 
 
+def test_sampled_pages_are_fitted_on_whole(spark, monkeypatch):
+    monkeypatch.setattr(H, "FIT_CHARS", 1000)
+    monkeypatch.setattr(H, "fit", lambda rows: rows)
+    page = lambda n: f"<html><body><p>{'x ' * n}</p></body></html>"
+    rows = [(1, page(100), "short"), (2, page(2000), "too long a page"), (3, page(90), "y " * 2000), (4, page(80), None), (5, page(70), "z")]
+    pages = spark.createDataFrame([(i, h) for i, h, _ in rows], "doc_id long, html string")
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    assert H.learn(pages, docs) == [(page(100), "short"), (page(80), ""), (page(70), "z")]
+
+
 def test_boosted_trees_learn_a_rule():
     import numpy as np
 
