@@ -1,6 +1,6 @@
 """The operators' queries and, where SQL can say the same, their SQL."""
 
-from riskframe.llm import decontaminate, htmltext, lm, mixing, pseudonyms, quality, secrets, simhash, substrings, urlrules
+from riskframe.llm import centroids, decontaminate, htmltext, lm, mixing, pseudonyms, quality, secrets, simhash, substrings, urlrules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -13,9 +13,11 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_quality": quality.query,
     "op10_lm": lm.query,
+    "op12_centroids": centroids.query,
 }
 ORACLE = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_substrings": substrings.ORACLE,
     "op7_mix": mixing.ORACLE,
+    "op12_centroids": centroids.ORACLE,
 }
