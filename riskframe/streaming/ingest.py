@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskframe.operators.access import latest_jobs
 from riskframe.operators.classify import keyword_findings
 from riskframe.operators.enrich import validate_findings
 from riskframe.operators.report import risk_summary
 from riskframe.operators.segment import split_scenes
+from riskframe.streaming import machines, published
 
 
 def first_submissions(stream: DataFrame, horizon: str) -> DataFrame:
@@ -23,29 +20,24 @@ def first_submissions(stream: DataFrame, horizon: str) -> DataFrame:
     return rows.where(~blank).dropDuplicatesWithinWatermark(["idempotency_key"]).unionByName(rows.where(blank))
 
 
-def answered_submissions(stream: DataFrame, horizon_hours: int, delay: str = "10 minutes") -> DataFrame:
-    """(idempotency_key, submission_id, job_id, is_new): later submissions of a key are answered with the first one's job."""
+def answered_submissions(stream: DataFrame, horizon_hours: int, delay: str = "10 minutes", settle: bool = True) -> DataFrame:
+    """(idempotency_key, submission_id, job_id, is_new): later submissions of a key are answered with the first one's job.
+
+    A key is kept for ``horizon_hours`` after its last submission. Submissions without a key are new ones; they go past the state."""
     horizon_ms = horizon_hours * 3_600_000
 
-    def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches)).sort_values(["ts", "submission_id"])
-        ids = pdf["submission_id"].tolist()
-        if not name[0]:
-            yield pd.DataFrame({"idempotency_key": name[0], "submission_id": ids, "job_id": ids, "is_new": True})
-            return
-        known = state.exists
-        job = state.get[0] if known else ids[0]
-        if not known:
-            state.update((job,))
-        state.setTimeoutTimestamp(max(int(pdf["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + horizon_ms)
-        yield pd.DataFrame({"idempotency_key": name[0], "submission_id": ids, "job_id": job, "is_new": [not known and i == 0 for i in range(len(ids))]})
-
-    rows = stream.select("ts", "submission_id", F.coalesce("idempotency_key", F.lit("")).alias("idempotency_key")).withWatermark("ts", delay)
-    shape = "idempotency_key string, submission_id string, job_id string, is_new boolean"
-    return rows.groupBy("idempotency_key").applyInPandasWithState(run, shape, "job string", "append", GroupStateTimeout.EventTimeTimeout)
+    def step(state: dict | None, row: dict) -> tuple[dict, list[dict]]:
+        job = row["submission_id"] if state is None else state["job"]
+        return {"job": job, "until": row["ms"] + horizon_ms}, [{"submission_id": row["submission_id"], "job_id": job, "is_new": state is None}]
+
+    rows = stream.select("ts", F.col("submission_id").cast("string").alias("submission_id"), F.nullif(F.col("idempotency_key"), F.lit("")).alias("idempotency_key"))
+    out = "idempotency_key string, submission_id string, job_id string, is_new boolean"
+    if stream.isStreaming:
+        answered = machines.stream(rows, "idempotency_key", ["submission_id"], ["submission_id"], "job string, until long", out, step, delay=delay, settle=settle)
+    else:
+        answered = machines.batch(rows, "idempotency_key", ["submission_id"], ["submission_id"], out, step)
+    free = rows.where("idempotency_key IS NULL").select("idempotency_key", "submission_id", F.col("submission_id").alias("job_id"), F.lit(True).alias("is_new"))
+    return answered.unionByName(free)
 
 
 def findings_of(scripts: DataFrame, lexicon: DataFrame, risk_class: DataFrame, measure: DataFrame, measure_applies: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,14 +50,20 @@ def findings_of(scripts: DataFrame, lexicon: DataFrame, risk_class: DataFrame, m
 
 
 def run_ingest(stream: DataFrame, folder: str, lexicon: DataFrame, risk_class: DataFrame, measure: DataFrame, measure_applies: DataFrame):
-    """A query that writes scenes, findings and summaries below ``folder`` for each micro-batch.
+    """A query that publishes scenes, findings and summaries below ``folder``, all tables of a micro-batch at once.
 
-    A batch that is written again after a failure replaces its own folder, so nothing is doubled."""
+    The scenes and findings of a batch are made once: the summaries are made of the findings that were written. Readers go by
+    :func:`published.read`, so a batch that failed between two tables isn't seen, and one that is run again is seen once."""
 
     def write(batch: DataFrame, number: int) -> None:
-        scenes, findings = findings_of(batch.select("report_id", "full_text"), lexicon, risk_class, measure, measure_applies)
-        for name, rows in (("scenes", scenes), ("findings", findings), ("reports", risk_summary(findings, batch.select("report_id")).drop("other_levels"))):
-            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        def tables(attempt: published.Attempt) -> None:
+            rows = attempt.write("submissions", batch.select("report_id", "full_text"), keep=False)
+            scenes, findings = findings_of(rows, lexicon, risk_class, measure, measure_applies)
+            attempt.write("scenes", scenes)
+            found = attempt.write("findings", findings)
+            attempt.write("reports", risk_summary(found, rows.select("report_id")).drop("other_levels"))
+
+        published.publish(batch.sparkSession, folder, number, tables)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 

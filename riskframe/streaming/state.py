@@ -1,57 +1,25 @@
-"""Streams with a state for each key: one-shot reads, expiring entries, deliveries, jobs, metrics.
+"""One-shot reads, expiring entries, deliveries, jobs and metrics, on streams and on tables.
 
-Each keyed machine is a plain function over the rows of one key in the order of their time, so that
-it can be tested without a stream and a batch gives the same rows."""
+Each keyed machine is a pair of plain functions (see ``machines``), so a stream and a batch give the same rows."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from riskframe.limits import BUFFER_TTL_HOURS, DELIVERY_WINDOW_HOURS
+from riskframe.limits import BUFFER_TTL_HOURS, DELIVERY_WINDOW_HOURS, PROGRESS_STEP
 from riskframe.operators.rollups import metric_rollup, percent
+from riskframe.streaming import machines
 
 HOUR_MS = 3_600_000
 
 
-def _ms(times: pd.Series) -> list[int]:
-    return (times - pd.Timestamp(0)).dt.total_seconds().mul(1000).round().astype("int64").tolist()
-
-
-def keyed(rows: DataFrame, key: str, order: list[str], step: Callable, expire: Callable, out: str, delay: str) -> DataFrame:
-    """Run ``step(state, row) -> (state, list of output rows)`` over the rows of each key.
-
-    ``state`` is a dict (kept as JSON) with ``until``, the event time in ms at which ``expire(state)``
-    gives its last rows and the state goes; rows carry ``ms``."""
-    names = [part.split()[0] for part in out.split(", ")]
-
-    def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else None
-        made: list[dict] = []
-        if state.hasTimedOut:
-            made = expire(held) if held else []
-            state.remove()
-        else:
-            pdf = pd.concat(list(batches)).sort_values(["ts", *order])
-            pdf["ms"] = _ms(pdf["ts"])
-            for row in pdf.to_dict("records"):
-                held, more = step(held, row)
-                made += more
-            if held is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((json.dumps(held),))
-                state.setTimeoutTimestamp(max(int(held["until"]), state.getCurrentWatermarkMs() + 1))
-        if made:
-            yield pd.DataFrame([{key: name[0], **m} for m in made])[names]
-
-    return rows.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(run, out, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+def _run(rows: DataFrame, delay: str, settle: bool, key: str, columns: list[str], order: list[str], state: str, out: str, step: machines.Step, expire: machines.Expire = machines.gone, close: bool = False) -> DataFrame:
+    if rows.isStreaming:
+        return machines.stream(rows, key, columns, order, state, out, step, expire, delay, settle)
+    return machines.batch(rows, key, columns, order, out, step, expire, close=close)
 
 
 def read_once_step(state: dict | None, row: dict) -> tuple[dict | None, list[dict]]:
@@ -66,16 +34,21 @@ def read_once_step(state: dict | None, row: dict) -> tuple[dict | None, list[dic
     return {**state, "read": True}, said("served" if row["ms"] < state["until"] else "expired")
 
 
-def read_once(events: DataFrame, delay: str = "10 minutes", forget_hours: int = 24) -> DataFrame:
+def read_once(events: DataFrame, delay: str = "10 minutes", forget_hours: int = 24, settle: bool = True) -> DataFrame:
     """(report_id, request_id, outcome) for each request: served once, then gone; expired after its time; not_found for others.
 
-    A report's state is kept ``forget_hours`` beyond its expiry, so that late readers hear gone or expired."""
+    Events are (report_id, ts, kind, user_id, request_id, ttl_hours). A report's state is kept ``forget_hours`` beyond its
+    expiry, so that late readers hear gone or expired. A request without a report's id finds none."""
     def step(state: dict | None, row: dict) -> tuple[dict | None, list[dict]]:
-        inner = None if state is None else {**state, "until": state["expires"]}
-        inner, out = read_once_step(inner, row)
+        inner, out = read_once_step(None if state is None else {**state, "until": state["expires"]}, row)
         return None if inner is None else {**inner, "expires": inner["until"], "until": inner["until"] + forget_hours * HOUR_MS}, out
 
-    return keyed(events, "report_id", ["kind", "request_id"], step, lambda s: [], "report_id string, request_id long, outcome string", delay)
+    kinds = {c: events.schema[c].dataType.simpleString() for c in ("report_id", "request_id", "user_id")}
+    out = f"report_id {kinds['report_id']}, request_id {kinds['request_id']}, outcome string"
+    columns = ["kind", "user_id", "request_id", "ttl_hours"]
+    told = _run(events, delay, settle, "report_id", columns, ["kind", "request_id"], f"owner {kinds['user_id']}, until long, read boolean, expires long", out, step)
+    lost = events.where("report_id IS NULL AND kind = 'request'").select("report_id", "request_id", F.lit("not_found").alias("outcome"))
+    return told.unionByName(lost)
 
 
 def buffer_step(state: dict | None, row: dict) -> tuple[dict | None, list[dict]]:
@@ -88,9 +61,52 @@ def buffer_step(state: dict | None, row: dict) -> tuple[dict | None, list[dict]]
     return state if alive else None, [{"request_id": row["request_id"], "found": alive, "value": state["value"] if alive else None}]
 
 
-def buffer(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """(key, request_id, found, value) for each get and delete of entries that expire."""
-    return keyed(events, "key", ["request_id"], buffer_step, lambda s: [], "key string, request_id long, found boolean, value string", delay)
+def buffer(events: DataFrame, delay: str = "10 minutes", settle: bool = True) -> DataFrame:
+    """(key, request_id, found, value) for each get and delete of entries that expire by event time.
+
+    Events are (key, ts, kind, request_id, value, ttl_hours); a blank or missing key is skipped."""
+    kind = events.schema["request_id"].dataType.simpleString()
+    named = events.where(F.trim(F.coalesce("key", F.lit(""))) != "")
+    return _run(named, delay, settle, "key", ["kind", "request_id", "value", "ttl_hours"], ["request_id"], "value string, until long", f"key string, request_id {kind}, found boolean, value string", buffer_step)
+
+
+class _Entries(StatefulProcessor):
+    """Entries whose state has a time to live: the store itself lets go of them, by the clock."""
+
+    def __init__(self, entry: T.StructType, ttl_ms: int) -> None:
+        self.entry, self.ttl_ms = entry, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("entry", self.entry, self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        for row in sorted((r.asDict() for r in rows), key=lambda r: (r["ts"], r["request_id"] or 0)):
+            if row["kind"] == "put":
+                self.held.update((row["value"],))
+                continue
+            found = self.held.exists()
+            value = self.held.get()[0] if found and row["kind"] == "get" else None
+            if row["kind"] == "delete":
+                self.held.clear()
+            yield Row(key=key[0], request_id=row["request_id"], found=found, value=value)
+
+    def close(self) -> None:
+        pass
+
+
+def clock_buffer(events: DataFrame, ttl_seconds: float = BUFFER_TTL_HOURS * 3600) -> DataFrame:
+    """The buffer by the clock of the machines that run it: an entry goes ``ttl_seconds`` after it was put, by the state's own
+    time to live, also when nothing more ever comes for its key. Answers come with the micro-batch of the request."""
+    machines.use_rocksdb(events.sparkSession)
+    named = events.where(F.trim(F.coalesce("key", F.lit(""))) != "").select("key", "ts", "kind", "request_id", "value")
+    shape = T.StructType.fromDDL(f"key string, request_id {events.schema['request_id'].dataType.simpleString()}, found boolean, value string")
+    return named.groupBy("key").transformWithState(_Entries(T.StructType.fromDDL("value string"), int(ttl_seconds * 1000)), shape, "Append", "ProcessingTime")
+
+
+def deleted_count(answers: DataFrame, deletes: DataFrame) -> DataFrame:
+    """How many entries a request of many deletes really took away: (request_id, deleted)."""
+    hit = deletes.select("request_id").distinct().join(answers.where("found"), "request_id", "left")
+    return hit.groupBy("request_id").agg(F.count("found").alias("deleted"))
 
 
 def live_entries(entries: DataFrame, now) -> DataFrame:
@@ -101,8 +117,8 @@ def live_entries(entries: DataFrame, now) -> DataFrame:
 def delivery_step(window_ms: int):
     def step(state: dict | None, row: dict) -> tuple[dict | None, list[dict]]:
         """Attempts (http_status, transport_error, job_id) of one report; after its outcome nothing counts."""
-        state = state or {"first": row["ms"], "until": row["ms"] + window_ms, "attempts": 0, "job_id": row["job_id"], "done": False}
-        if state["done"] or row["ms"] >= state["first"] + window_ms:
+        state = state or {"until": row["ms"] + window_ms, "attempts": 0, "job_id": row["job_id"], "done": False}
+        if state["done"]:
             return state, []
         state = {**state, "attempts": state["attempts"] + 1}
         status, broken = row["http_status"], isinstance(row["transport_error"], str)
@@ -115,13 +131,51 @@ def delivery_step(window_ms: int):
     return step
 
 
-def delivery_outcomes_stream(attempts: DataFrame, hours: int = DELIVERY_WINDOW_HOURS, delay: str = "10 minutes") -> DataFrame:
-    """(report_id, job_id, outcome, reason, attempts), once for each report: at the first final answer, or when its window closes."""
-    def expire(state: dict) -> list[dict]:
-        return [] if state["done"] else [{"job_id": state["job_id"], "outcome": "failed", "reason": "window exhausted", "attempts": state["attempts"]}]
+def delivery_outcomes_stream(attempts: DataFrame, hours: int = DELIVERY_WINDOW_HOURS, delay: str = "10 minutes", forget_hours: int = 24) -> DataFrame:
+    """(report_id, job_id, outcome, reason, attempts), once for each report: at the first final answer, or when its window closes.
+
+    Attempts of up to ``forget_hours`` after the window change nothing."""
+    def expire(state: dict) -> tuple[dict | None, list[dict]]:
+        if state["closed"]:
+            return None, []
+        rows = [] if state["done"] else [{"job_id": state["job_id"], "outcome": "failed", "reason": "window exhausted", "attempts": state["attempts"]}]
+        return {**state, "done": True, "closed": True, "until": state["until"] + forget_hours * HOUR_MS}, rows
+
+    inner = delivery_step(hours * HOUR_MS)
+
+    def step(state: dict | None, row: dict) -> tuple[dict | None, list[dict]]:
+        after, rows = inner(state, row)
+        return {"closed": False, **after}, rows
 
     shape = "report_id string, job_id string, outcome string, reason string, attempts long"
-    return keyed(attempts, "report_id", ["attempt_id"], delivery_step(hours * HOUR_MS), expire, shape, delay)
+    return _run(attempts, delay, True, "report_id", ["attempt_id", "job_id", "http_status", "transport_error"], ["attempt_id"], "until long, attempts long, job_id string, done boolean, closed boolean", shape, step, expire, close=True)
+
+
+def progress_step(every: int, forget_ms: int) -> machines.Step:
+    def step(state: dict | None, row: dict) -> tuple[dict, list[dict]]:
+        """Events (status, progress) of one job: what is worth publishing of them."""
+        last = state or {"status": None, "shown": None}
+        status, progress = row["status"] or last["status"], row["progress"]
+        known = last["shown"]
+        ended = status in ("completed", "failed")
+        news = status != last["status"] or (progress is not None and (known is None or progress - known >= every or (progress >= 100 > known)))
+        shown = progress if news and progress is not None else known
+        state = {"status": status, "shown": shown, "until": row["ms"] + forget_ms}
+        return state, [{"us": row["us"], "status": status, "progress": shown, "is_final": ended}] if news else []
+
+    return step
+
+
+def published_progress(events: DataFrame, every: int = PROGRESS_STEP, delay: str = "1 minute", forget_hours: int = 24, settle: bool = True) -> DataFrame:
+    """(job_id, ts, status, progress, is_final): of a job's events (job_id, ts, event_id, status, progress) those that are published,
+    which are changes of its status, and progress that is ``every`` percent on from what was published last, or has reached 100.
+
+    A job that is silent for ``forget_hours`` is forgotten. Events without a job are never published."""
+    kind = events.schema["job_id"].dataType.simpleString()
+    columns, out = ["event_id", "status", "progress"], f"job_id {kind}, us long, status string, progress long, is_final boolean"
+    rows = events.withColumn("progress", F.col("progress").cast("long"))
+    told = _run(rows, delay, settle, "job_id", columns, ["event_id"], "status string, shown long, until long", out, progress_step(every, forget_hours * HOUR_MS))
+    return told.select("job_id", F.timestamp_micros("us").alias("ts"), "status", "progress", "is_final")
 
 
 def delivery_outcomes(attempts: DataFrame, hours: int = DELIVERY_WINDOW_HOURS) -> DataFrame:
@@ -153,4 +207,4 @@ def metric_windows(samples: DataFrame, width: str = "1 minute", delay: str = "1
     return per.select(F.col("w.start").alias("window_start"), key, "cpu_peak_pct", "cpu_avg_pct", "mem_peak_pct", "mem_avg_pct", "samples")
 
 
-__all__ = ["metric_rollup", "keyed", "read_once", "buffer", "live_entries", "delivery_outcomes_stream", "delivery_outcomes", "delivery_failed_events", "metric_windows"]
+__all__ = ["metric_rollup", "read_once", "buffer", "clock_buffer", "deleted_count", "live_entries", "delivery_outcomes_stream", "delivery_outcomes", "delivery_failed_events", "published_progress", "metric_windows"]
