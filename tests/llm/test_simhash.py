@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import odd
 import xxhash
 from riskframe.llm import simhash as S
@@ -135,6 +136,44 @@ def test_short_near_copies_are_found(spark):
     assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == kept_by_brute_force(text)
 
 
+def test_texts_with_repeated_phrases(spark):
+    """Alike by their sets, though their fingerprints differ in many bits and no run of 25 words need be the same."""
+    rng = random.Random(3)
+    say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows, body = [], say(120)
+    rows += [body + [f"{side}{k}" for k in range(5)] * 300 for side in "ab"]
+    lines = [["start", "of", "the", "entry", *say(10), "end", "of", "the", "entry"] for _ in range(60)]
+    rows += [[w for line in lines for w in [*line, mark]] for mark in ("--", "**", "--")]  # another mark behind each line
+    rows += [[w for line in lines[:30] for w in [*line, "--"]], say(120), say(1000)]
+    text = {i: " ".join(w) for i, w in enumerate(rows)}
+    assert jaccard(text[0], text[1]) >= 0.8 and jaccard(text[2], text[3]) >= 0.8 > jaccard(text[2], text[5])
+    assert bin(fingerprint(text[0]) ^ fingerprint(text[1])).count("1") > 24
+    docs = spark.createDataFrame(sorted(text.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == kept_by_brute_force(text)
+
+
+def test_prefixes_and_sketches_leave_no_alike_pair_out():
+    from riskframe.llm import resemblance as R
+
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        n, often = int(rng.choice([1, 2, 3, 5, 9, 20, 64, 65, 300, 1500])), np.unique(rng.integers(0, 400, 60, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        pool = np.unique(rng.integers(0, 4000, 4 * n, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        a = np.sort(rng.permutation(pool)[:n])
+        keep = a[rng.random(len(a)) > rng.choice([0.0, 0.05, 0.1, 0.2, 0.3])]
+        b = np.unique(np.concatenate((keep, rng.integers(0, 1 << 63, int(rng.integers(0, 1 + len(a) // 5)), dtype=np.uint64))))
+        if not len(b):
+            continue
+        different = len(np.setxor1d(a, b))
+        assert R.at_least_different(R.sketch(a), R.sketch(b)) <= different
+        both = len(np.intersect1d(a, b))
+        if both >= 0.8 * (len(a) + len(b) - both):
+            p, q = (R.prefix(x, often, 0.8).tolist() for x in (a, b))
+            shared = next(x for x in p if x in set(q))
+            left = 1 + min(len(a) - p.index(shared) - 1, len(b) - q.index(shared) - 1)
+            assert left >= (len(a) + len(b)) * 0.8 / 1.8 - 1e-9
+
+
 def test_joins_beyond_the_broadcast_bound(spark, data, monkeypatch):
     from riskframe.llm import resemblance
 
