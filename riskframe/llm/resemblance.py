@@ -34,8 +34,8 @@ from riskframe.llm.words import U64, read_words, slices, window_hashes
 SHINGLE, SIMILARITY, NEIGHBOURS = 5, 0.8, 4
 #: Texts whose shingles are counted for the order, how often a frequent one occurs there, and how many there are at most.
 ORDER_TEXTS, FREQUENT, ORDER_SHINGLES = 8_000, 3, 500_000
-#: Texts on either side of a block of the second round.
-BLOCK = 2048
+#: Texts on either side of a block of the second round, and texts whose sets a task holds at once.
+BLOCK, ROWS_AT_ONCE = 2048, 256
 #: So many ids are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _SLACK = 1e-9
@@ -83,13 +83,15 @@ def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _of_sets(batches: Iterator[pa.RecordBatch], wanted, size: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[np.ndarray]]]:
-    """Batches (id, text) of wanted ids, with rows that have words and their sets."""
-    for batch in batches:
+    """Parts of batches (id, text) of wanted ids, with rows that have words and their sets."""
+    for whole in batches:
         if wanted is not None:
-            batch = batch.filter(pa.array(np.isin(batch.column(0).to_numpy(zero_copy_only=False), wanted.value)))
-        made = [(row, shingle_set(hashes, size)) for row, hashes in _each(batch) if len(hashes)]
-        if made:
-            yield batch, [r for r, _ in made], [s for _, s in made]
+            whole = whole.filter(pa.array(np.isin(whole.column(0).to_numpy(zero_copy_only=False), wanted.value)))
+        for lo in range(0, len(whole), ROWS_AT_ONCE):
+            batch = whole.slice(lo, ROWS_AT_ONCE)
+            made = [(row, shingle_set(hashes, size)) for row, hashes in _each(batch) if len(hashes)]
+            if made:
+                yield batch, [r for r, _ in made], [s for _, s in made]
 
 
 def _count(wanted, size: int):
