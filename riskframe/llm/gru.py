@@ -21,6 +21,21 @@ def class_starts(counts: np.ndarray) -> np.ndarray:
     return np.concatenate((starts, [len(counts)]))
 
 
+def _exps(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | np.float32]:
+    """(e, sums of its rows, top): exp(logits - top). One top for all rows serves unless they lie far apart."""
+    top = logits.max()
+    if top - logits.min() > 60:
+        top = logits.max(axis=1, keepdims=True)
+    e = np.subtract(logits, top)
+    np.exp(e, out=e)
+    return e, e @ np.ones(e.shape[1], dtype=e.dtype), top
+
+
+def _by_class(classes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, bounds): the rows of class c are order[bounds[c]:bounds[c + 1]]."""
+    return np.argsort(classes, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(classes, minlength=n))))
+
+
 class Model:
     """Parameters as float32 arrays. A word's row of x holds what it adds to the three gates."""
 
@@ -28,7 +43,7 @@ class Model:
 
     def __init__(self, starts: np.ndarray, arrays: dict[str, np.ndarray]) -> None:
         self.starts, self.size = starts, int(starts[-1])
-        self.of_class = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        self.of_class = np.repeat(np.arange(len(starts) - 1, dtype=np.int16), np.diff(starts))  # 16 bits sort in linear time
         self.__dict__.update(arrays)
 
     @classmethod
@@ -72,19 +87,23 @@ class Model:
     def log_probability(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """log10 of each target's probability, given the state before it."""
         classes = self.of_class[targets]
-        logits = h @ self.p + self.pb
-        top = logits.max(axis=1)
-        out = (logits[np.arange(len(h)), classes] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))).astype(np.float64)
-        order = np.argsort(classes, kind="stable")
-        bounds = np.searchsorted(classes[order], np.arange(len(self.starts)))
+        logits = h @ self.p
+        logits += self.pb
+        own = logits[np.arange(len(h)), classes]
+        _, total, top = _exps(logits)
+        out = (own - np.ravel(top) - np.log(total)).astype(np.float64)
+        order, bounds = _by_class(classes, len(self.starts) - 1)
+        sorted_h, sorted_targets, inner = h[order], targets[order], np.zeros(len(h))
         for c in np.flatnonzero(np.diff(bounds)):
-            rows = order[bounds[c] : bounds[c + 1]]
-            a, b = self.starts[c], self.starts[c + 1]
+            lo, hi, a, b = bounds[c], bounds[c + 1], self.starts[c], self.starts[c + 1]
             if b - a == 1:
                 continue
-            inside = h[rows] @ self.q[a:b].T + self.qb[a:b]
-            top = inside.max(axis=1)
-            out[rows] += inside[np.arange(len(rows)), targets[rows] - a] - top - np.log(np.exp(inside - top[:, None]).sum(axis=1))
+            inside = sorted_h[lo:hi] @ self.q[a:b].T
+            inside += self.qb[a:b]
+            own = inside[np.arange(hi - lo), sorted_targets[lo:hi] - a]
+            _, total, top = _exps(inside)
+            inner[lo:hi] = own - np.ravel(top) - np.log(total)
+        out[order] += inner
         return out / _LN10
 
 
@@ -176,7 +195,7 @@ class Trainer:
             du += before[t].T @ through
             back = (d * z + through @ m.u.T) * ~new[:, t, None]
         flat, words = into.reshape(-1, 3 * k), x.T.ravel()
-        order = np.argsort(words, kind="stable")
+        order = np.argsort(words.astype(np.uint16) if m.size <= 1 << 16 else words, kind="stable")
         cuts = np.flatnonzero(np.diff(words[order], prepend=-1))
         scale = np.float32(1.0 / lanes)
         self._move("x", np.add.reduceat(flat[order], cuts, axis=0) * scale, words[order][cuts])
@@ -187,27 +206,29 @@ class Trainer:
         """Move the output weights, and return the loss's slope in the states."""
         m, scale = self.m, np.float32(1.0 / LANES)
         classes = m.of_class[y]
-        logits = h @ m.p + m.pb
-        d = np.exp(logits - logits.max(axis=1, keepdims=True))
-        d /= d.sum(axis=1, keepdims=True)
+        logits = h @ m.p
+        logits += m.pb
+        d, total, _ = _exps(logits)
+        d /= total[:, None]
         d[np.arange(len(h)), classes] -= 1
         out = d @ m.p.T
-        dp, dpb = h.T @ d, d.sum(axis=0)
-        order = np.argsort(classes, kind="stable")
-        bounds = np.searchsorted(classes[order], np.arange(len(m.starts)))
+        dp, dpb = h.T @ d, np.ones(len(d), dtype=d.dtype) @ d
+        order, bounds = _by_class(classes, len(m.starts) - 1)
+        sorted_h, sorted_y, inner = h[order], y[order], np.zeros_like(out)
         for c in np.flatnonzero(np.diff(bounds)):
-            rows = order[bounds[c] : bounds[c + 1]]
-            a, b = m.starts[c], m.starts[c + 1]
+            lo, hi, a, b = bounds[c], bounds[c + 1], m.starts[c], m.starts[c + 1]
             if b - a == 1:
                 continue
-            own = h[rows]
-            inside = own @ m.q[a:b].T + m.qb[a:b]
-            e = np.exp(inside - inside.max(axis=1, keepdims=True))
-            e /= e.sum(axis=1, keepdims=True)
-            e[np.arange(len(rows)), y[rows] - a] -= 1
-            out[rows] += e @ m.q[a:b]
+            own = sorted_h[lo:hi]
+            inside = own @ m.q[a:b].T
+            inside += m.qb[a:b]
+            e, total, _ = _exps(inside)
+            e /= total[:, None]
+            e[np.arange(hi - lo), sorted_y[lo:hi] - a] -= 1
+            np.matmul(e, m.q[a:b], out=inner[lo:hi])
             self._move("q", (e.T @ own) * scale, slice(a, b))
-            self._move("qb", e.sum(axis=0) * scale, slice(a, b))
+            self._move("qb", (np.ones(hi - lo, dtype=e.dtype) @ e) * scale, slice(a, b))
+        out[order] += inner
         self._move("p", dp * scale)
         self._move("pb", dpb * scale)
         return np.clip(out, -5, 5)

@@ -79,6 +79,8 @@ class Lexicon:
         order = np.argsort(words)
         self.words, self.counts, self.number = words[order], counts[order], number[order]
         self.gains = np.log10(self.counts + 1.0)
+        small = np.flatnonzero(self.number != 1)  # what the network knows by name: a table that stays in the cache
+        self.known, self.known_number = self.words[small], self.number[small]
         self.other = int(total - ends - counts[named].sum())
         self.other_words = int(distinct - len(named) - (ends > 0))
         self.sizes = np.concatenate(([ends, self.other], counts[named])).astype(float)
@@ -91,9 +93,10 @@ class Lexicon:
         return at, self.words[at] == tokens
 
     def numbers(self, tokens: np.ndarray) -> np.ndarray:
-        at, there = self.look_up(tokens)
-        out = np.where(there, self.number[at], 1) if len(self.words) else np.ones(len(tokens), dtype=np.int64)
-        return np.where(tokens == END, 0, out)
+        if not len(self.known):
+            return np.where(tokens == END, 0, 1)
+        at = np.minimum(np.searchsorted(self.known, tokens), len(self.known) - 1)
+        return np.where(tokens == END, 0, np.where(self.known[at] == tokens, self.known_number[at], 1))
 
 
 def _train(lexicon, weights, start: gru.Model, rate: float):
