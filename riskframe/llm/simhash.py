@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.llm import resemblance
-from riskframe.llm.frames import column_index, cut, numbered, pick, shared_folder, table, through_table
+from riskframe.llm.frames import column_index, cut, numbered, pick, shared_folder, small_batches, table, through_table
 from riskframe.llm.words import LOWER, read_words, slices
 
 SHINGLE, SEED, MAX_BITS, LEAST_BYTES = 3, 42, 2, 6
@@ -175,6 +175,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     links between texts with at least the given similarity on five-word shingles, unless it is None.
     Copies of a text ride along with it; different texts of one fingerprint are compared each on its own.
     If all ids of a component of fingerprints are null, one of its rows stays as well."""
+    with small_batches(docs.sparkSession):
+        return _keep_one(docs, doc_id, text, shingle, similarity)
+
+
+def _keep_one(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float | None) -> DataFrame:
     df, names = numbered(docs)
     ident, body = (f"c{column_index(docs, c)}" for c in (doc_id, text))
     marked = pick(docs, id=doc_id, text=text).withColumn("body", F.xxhash64(F.col("text").cast("string")))
