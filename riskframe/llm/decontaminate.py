@@ -3,9 +3,10 @@ every window of words of the training texts; hits are verified word by word; spa
 documents are removed.
 
 The n-grams of the benchmark are counted first and cut into blocks of a bounded number of rows
-and bytes. One block is broadcast at a time and the documents are passed by it without any
-shuffle, so the method is the same for two hundred items and for two hundred million: more
-items mean more passes, never a larger broadcast.
+and bytes. A single block is broadcast and the documents are passed by it without any shuffle. Of
+several, each is a job of its own: it is built, broadcast, passed by and destroyed before the next
+one, and leaves a table of hits by row number; these small tables are merged at the end. So more
+items mean more passes, never a larger broadcast or more workers in a task.
 
 Defined results for odd input:
 - a null or empty text (or one without words) has no words, no hits and isn't contaminated;
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from riskframe.llm.frames import column_index, numbered, pick, table, with_results
-from riskframe.llm.words import ALNUM, LOWER, code_points, read_words, slices, window_hashes
+from riskframe.llm.frames import column_index, cut, numbered, pick, shared_folder, table, through_table, with_results
+from riskframe.llm.words import ALNUM, LOWER, Words, code_points, read_words, slices, window_hashes
 
 WINDOW = 13
 #: A broadcast block of benchmark windows holds about so many rows and bytes at most.
@@ -92,35 +95,51 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _pass(block, at: int, prior: bool, last: bool, schema: pa.Schema):
-    """mapInArrow: hold one block against the text in column ``at``, going on from what earlier blocks found."""
+def _found(known, data: np.ndarray, words: Words) -> tuple[np.ndarray, dict[int, set]]:
+    """Which words of a slice a block's windows cover, and the items of each of its texts."""
+    hit, items, owner = np.zeros(len(words.start), dtype=bool), defaultdict(set), words.text_of_word()
+    for i, length, which in known.find(data, words, words.hashes(lower=True)):
+        hit[i : i + length] = True
+        items[int(owner[i])].update(x for x in which if x is not None)
+    return hit, items
 
+
+def _hits(block):
+    """(row, text) to (row, hits, items), rows with hits alone: one block of several."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = block.value
         for batch in batches:
-            n_in = batch.num_columns - 2 * prior
-            before = (batch.column(n_in).to_pylist(), batch.column(n_in + 1).to_pylist()) if prior else None
-            out: list[list] = [[] for _ in range(8 if last else 2)]
+            rows, places, named = [], [], []
+            for lo, hi, data, offsets in slices(batch.column(1)):
+                words = read_words(data, offsets, ALNUM)
+                hit, items = _found(known, data, words)
+                for d in np.flatnonzero(words.summed(hit.astype(np.int64))):
+                    rows.append(lo + int(d))
+                    places.append(np.flatnonzero(hit[words.first[d] : words.first[d + 1]]).astype(np.int32))
+                    named.append(sorted(items[int(d)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, type=pa.int64())), pa.array(places, type=pa.list_(pa.int32())), pa.array(named, type=pa.list_(pa.string()))], names=["row", "hits", "items"])
+
+    return run
+
+
+def _finish(block, at: int, schema: pa.Schema):
+    """mapInArrow: what is returned for each text, from the only block, or (None) from the hits that stand in the last two columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_in = batch.num_columns - 2 * (block is None)
+            out: list[list] = [[] for _ in _RESULTS]
             for lo, hi, data, offsets in slices(batch.column(at)):
                 words = read_words(data, offsets, ALNUM)
-                hit = np.zeros(len(words.start), dtype=bool)
-                items: dict[int, set] = defaultdict(set)
-                owner = words.text_of_word()
-                for i, length, which in known.find(data, words, words.hashes(lower=True)):
-                    hit[i : i + length] = True
-                    items[int(owner[i])].update(x for x in which if x is not None)
-                points = code_points(data) if last else None
+                hit, items = _found(block.value, data, words) if block is not None else (np.zeros(len(words.start), dtype=bool), {})
+                points = code_points(data)
                 for d in range(hi - lo):
                     a, b = int(words.first[d]), int(words.first[d + 1])
-                    if prior:
-                        hit[a + np.asarray(before[0][lo + d], dtype=np.int64)] = True
-                        items[d].update(before[1][lo + d])
+                    if block is None and batch.column(n_in)[lo + d].is_valid:
+                        hit[a + batch.column(n_in)[lo + d].values.to_numpy()] = True
+                        items[d] = set(batch.column(n_in + 1)[lo + d].as_py())
                     named = sorted(items[d]) if d in items else []
                     own = hit[a:b]
-                    if not last:
-                        out[0].append(np.flatnonzero(own).astype(np.int32).tolist())
-                        out[1].append(named)
-                        continue
                     n_hit = int(own.sum())
                     spans = []
                     if n_hit:
@@ -130,17 +149,26 @@ def _pass(block, at: int, prior: bool, last: bool, schema: pa.Schema):
                     for column, value in zip(out, row):
                         column.append(value)
             arrays = [batch.column(i) for i in range(n_in)]
-            arrays += [pa.array(v, type=schema.field(n_in + i).type) for i, v in enumerate(out[: len(schema) - n_in])]
+            arrays += [pa.array(v, type=schema.field(n_in + i).type) for i, v in enumerate(out)]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return run
 
 
-def _add(df: DataFrame, fields: list[T.StructField], n_in: int, block, at: int, prior: bool, last: bool) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    shape = T.StructType([*df.schema.fields[:n_in], *fields])
-    return df.mapInArrow(_pass(block, at, prior, last, to_arrow_schema(shape)), shape)
+def _through_blocks(df: DataFrame, grams: DataFrame, blocks: int, at: int) -> DataFrame:
+    """df with __hits and __items. Each block is a job of its own: it is built, broadcast, held against all texts, and let go of
+    before the next one; between them stand tables of hits by row number, in the shared folder."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/decontaminate-{uuid.uuid4().hex}"
+    grams = through_table(grams.withColumn("block", F.pmod(F.xxhash64("window", "item"), F.lit(blocks)).cast("int")), f"{folder}/grams")
+    rows = cut(df.withColumn("row", F.monotonically_increasing_id()))  # the numbers stay, whatever is run again
+    for k in range(blocks):
+        block = spark.sparkContext.broadcast(_Block([tuple(r) for r in grams.where(F.col("block") == k).drop("block").toLocalIterator()]))
+        rows.select("row", f"c{at}").mapInArrow(_hits(block), "row long, hits array<int>, items array<string>").write.parquet(f"{folder}/hits/{k}")
+        block.destroy()
+    hits = spark.read.schema("row long, hits array<int>, items array<string>").parquet(*[f"{folder}/hits/{k}" for k in range(blocks)])
+    hits = hits.groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("__hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("__items"))
+    return rows.join(hits, "row", "left").select(*df.columns, "__hits", "__items")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -151,16 +179,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     blocks = max(1, math.ceil(n / block_rows), math.ceil(size / block_bytes))
     df, names = numbered(docs)
     at, n_in = column_index(docs, text), len(names)
-    between = [T.StructField("__hits", T.ArrayType(T.IntegerType())), T.StructField("__items", T.ArrayType(T.StringType()))]
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.StringType()), T.StringType(), T.BooleanType(), T.ArrayType(span)]
     final = [T.StructField(k, v) for k, v in zip(_RESULTS, kinds)]
     df = df.withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
-    for k in range(blocks):
-        mine = grams if blocks == 1 else grams.where(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == k)
-        block = spark.sparkContext.broadcast(_Block([tuple(r) for r in mine.toLocalIterator()]))
-        last = k == blocks - 1
-        df = _add(df, final if last else between, n_in, block, at, k > 0, last)
+    shape = T.StructType([*df.schema.fields, *final])
+    block = spark.sparkContext.broadcast(_Block([tuple(r) for r in grams.toLocalIterator()])) if blocks == 1 else None
+    df = df if block else _through_blocks(df, grams, blocks, at)
+    df = df.mapInArrow(_finish(block, at, to_arrow_schema(shape)), shape)
     return with_results(df, names, _RESULTS)
 
 

@@ -36,6 +36,19 @@ def test_against_brute_force_in_one_and_in_several_blocks(spark):
         assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == want
 
 
+def test_each_block_is_a_job_of_its_own(spark, capsys):
+    """Forty blocks, also for repeated rows and items: the last plan reads tables and has one Python step."""
+    item = " ".join(f"w{i}" for i in range(52))
+    docs = spark.createDataFrame([(i, f"{item} x{i}" if i % 2 else None) for i in range(20)] + [(1, item)] * 3, "doc_id int, text string").repartition(3)
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item)], "item_id int, text string")
+    found = D.scan(docs, bench, block_rows=2)
+    found.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    got = sorted(map(str, found.drop("items").collect()))
+    assert got == sorted(map(str, D.scan(docs, bench).drop("items").collect())) and len(got) == 23
+    assert {r.n_hit for r in found.collect()} == {0, 52} and {tuple(r["items"]) for r in found.collect()} == {(), ("1", "2")}
+
+
 def test_removal_of_spans_and_documents(spark):
     item = " ".join(f"w{i}" for i in range(13))
     docs = spark.createDataFrame([(1, f"é before, {item}! after", "k"), (2, "clean words", "k"), (3, None, "k")], "doc_id int, text string, n_hit string")
