@@ -39,9 +39,11 @@ from riskframe.llm.frames import column_index, numbered, pick, table, with_resul
 FIT_PAGES, FIT_CHARS = 400, 200_000
 ATTRIBUTE_BINS = 64
 
-_SKIP = frozenset("script style noscript template svg math head iframe object select textarea button title".split())
+#: Elements whose content is no text of the page; the fields of forms among them. What else isn't the article, the trees tell.
+_SKIP = frozenset("script style template svg head iframe select textarea title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var img wbr input".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var img wbr input button object noscript "
+                    "math semantics annotation mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot munder mover munderover mtable mtr mtd mstyle mpadded mphantom menclose mmultiscripts".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Start tags that end an open element of these kinds, unless a boundary stands between.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -60,7 +62,7 @@ class Page:
         self.parent, self.tag, self.names = [-1], ["html"], [()]
         self.pieces: list[tuple[int, str, bool]] = []
         stack: list[tuple[str, int]] = [("html", 0)]
-        links, at, n = 0, 0, len(source)
+        links, at, n, endless = 0, 0, len(source), set()  # endless: kinds of elements that no end tag follows any more
         while at < n:
             m = _TOKEN.match(source, at)
             if m is None:
@@ -71,8 +73,10 @@ class Page:
             elif m[1] is not None:
                 tag = m[1].lower()
                 if tag in _SKIP:
-                    if not m[2].endswith("/") or tag not in ("svg", "math"):
+                    if tag not in endless and not (m[2].endswith("/") and tag == "svg"):
                         end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+                        if end is None:
+                            endless.add(tag)
                         at = n if end is None and tag in ("script", "style") else at if end is None else end.end()
                     continue
                 if tag in _INLINE:

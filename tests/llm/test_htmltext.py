@@ -95,3 +95,14 @@ def test_odd_rows(spark, trees):
     got = H.extract_pages(pages, trees).collect()
     assert len(got) == len(odd.ROWS) and all(r.text == "" and r.n_chars == 0 for r in got if r.page_id in (2, 3, 4))
     assert H.extract_pages(odd.none(spark), trees, html="text").count() == 0
+
+
+def test_text_within_the_article_is_kept_and_unclosed_elements_cost_little():
+    import time
+
+    page = H.Page("<html><body><p>The area is <math><mi>x</mi><mo>+</mo><mn>2</mn></math> and <button>B</button> next <object data='a'>fallback</object> words <noscript>shown</noscript> end</p><select><option>one</option></select></body></html>")
+    assert [t for _, t in page.blocks()] == ["The area is x+2 and B next fallback words shown end"]
+    for tag in ("select", "textarea", "template", "iframe"):
+        start = time.perf_counter()
+        assert H.Page(f"<p>a</p><{tag}>" * 20_000).blocks()[0][1] == "a"
+        assert time.perf_counter() - start < 1.5
