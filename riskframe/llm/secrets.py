@@ -1,7 +1,7 @@
 """Secret scans through nested encodings.
 
 Each text starts a worklist of layers. A layer is scanned; then each decoding that changes it
-(percent escapes, Unicode escapes, base64 words, also wrapped over lines, base64 of compressed data) makes a further layer
+(percent escapes, Unicode, octal and named character escapes, base64 words, also wrapped over lines, base64 of compressed data) makes a further layer
 in which the decoded parts stand in their place, so that a key name outside an encoded value still
 belongs to it. Layers go on the list until nothing new appears; a layer that was seen before (a
 cycle) isn't taken up again. Every character of a layer knows the span of the original text that
@@ -9,7 +9,9 @@ it comes from, so all findings are reported as spans of the original.
 
 Defined results for odd input:
 - a null or empty text has no findings;
-- decoded bytes that aren't printable text are left as they are;
+- decoded bytes are read as UTF-8, UTF-16 or else byte by byte, whatever control characters are in between; only those
+  without a run of printable characters that could hold anything (twelve) are left as they are;
+- what is compressed in several members, or breaks off, counts with all that can be unpacked;
 - compressed data that would unpack to more than ``most`` bytes isn't unpacked but reported as a
   span of kind ``packed``, so that nothing goes by unseen;
 - repeated documents are scanned row by row; extra columns are passed on.
@@ -25,6 +27,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from html.entities import html5
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +49,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # a run is taken whole, so shorter ones need
 LEAST_VALUE, LEAST_ACCESS = 12, 18
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
+_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\[0-3][0-7]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[A-Za-z]{2,31};)")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 _LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 _FULL_LINE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?=\r?\n[\x20\t]*[A-Za-z0-9+/_-])")
@@ -70,41 +73,60 @@ class TooLong(Exception):
     pass
 
 
-def _unpack(data: bytes, most: int) -> bytes | None:
-    """What data unpacks to, if it begins like a compressed format that is at hand."""
+def _engine(data: bytes):
+    """What unpacks data that begin like a compressed format that is at hand."""
     if data[:2] == b"\x1f\x8b":
-        engine = zlib.decompressobj(31)
-    elif len(data) > 2 and data[0] == 0x78 and int.from_bytes(data[:2], "big") % 31 == 0:
-        engine = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        engine = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        engine = lzma.LZMADecompressor(memlimit=64 << 20)
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
+        return zlib.decompressobj(31)
+    if len(data) > 2 and data[0] == 0x78 and int.from_bytes(data[:2], "big") % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=64 << 20)
+    if data[:4] == b"\x28\xb5\x2f\xfd":
         import zstandard
 
-        with zstandard.ZstdDecompressor(max_window_size=64 << 20).stream_reader(data) as reader:
-            out = reader.read(most + 1)
+        return zstandard.ZstdDecompressor(max_window_size=64 << 20)
+    return None
+
+
+def _unpack(data: bytes, most: int) -> bytes | None:
+    """What data unpacks to, all of its members, and what follows the last one; None if nothing does."""
+    out, any_member = b"", False
+    while data and (engine := _engine(data)) is not None:
+        try:
+            if hasattr(engine, "stream_reader"):
+                with engine.stream_reader(data, read_across_frames=True) as reader:
+                    part, data = reader.read(most + 1 - len(out)), b""
+            else:
+                part = engine.decompress(data, most + 1 - len(out))
+                data = engine.unused_data if engine.eof else b""
+        except Exception:  # noqa: BLE001  only looks like compressed data, or breaks off
+            break
+        out, any_member = out + part, any_member or bool(part)
         if len(out) > most:
             raise TooLong
-        return out
-    else:
-        return None
-    out = engine.decompress(data, most + 1)
-    if len(out) > most:
-        raise TooLong
-    return out if engine.eof else None
+    return out + data[: most - len(out)] if any_member else None
 
 
-def _readable(data: bytes) -> str | None:
+def _readable(data: bytes) -> tuple[str, list[int]] | None:
+    """Text and the number of bytes of each of its characters, or None if there can't be anything in it."""
+    pairs = len(data) // 2
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff") or (pairs >= 6 and max(data[0 : 2 * pairs : 2].count(0), data[1 : 2 * pairs : 2].count(0)) > 0.7 * pairs):
+        big = data[:2] == b"\xfe\xff" or (data[:2] != b"\xff\xfe" and data[0::2].count(0) > data[1::2].count(0))
+        text = data[: 2 * pairs].decode("utf-16-be" if big else "utf-16-le", "replace")
+        return text, [2 + 2 * (ord(c) > 0xFFFF) for c in text]
     try:
         text = data.decode("utf-8")
-    except UnicodeDecodeError:
+        if text and (text.translate(_LINE_SPACE).isprintable() or _RUN.search(data)):
+            return text, [len(c.encode()) for c in text]
         return None
-    return text if text and text.translate(_LINE_SPACE).isprintable() else None
+    except UnicodeDecodeError:
+        return (data.decode("latin-1"), [1] * len(data)) if _RUN.search(data) else None
 
 
 _LINE_SPACE = {9: 32, 10: 32, 13: 32}
+_RUN = re.compile(rb"[\x20-\x7e]{12}")
 
 
 def _percent(m: re.Match, most: int) -> tuple[str, list[tuple[int, int]]] | None:
@@ -122,7 +144,13 @@ def _percent(m: re.Match, most: int) -> tuple[str, list[tuple[int, int]]] | None
 
 def _escape(m: re.Match, most: int) -> tuple[str, list[tuple[int, int]]] | None:
     body = m[0]
-    code = int(body[2:-1]) if body[:2] == "&#" and body[2] not in "xX" else int(re.sub(r"[^0-9A-Fa-f]", "", body[2:].lstrip("xX")), 16)
+    if body[0] == "&" and body[1] != "#":
+        text = html5.get(body[1:])
+        return None if text is None else (text, [(m.start(), m.end())] * len(text))
+    if body[0] == "\\" and body[1] in "0123":
+        code = int(body[1:], 8)
+    else:
+        code = int(body[2:-1]) if body[:2] == "&#" and body[2] not in "xX" else int(re.sub(r"[^0-9A-Fa-f]", "", body[2:].lstrip("xX")), 16)
     if not 0 < code < 0x110000 or 0xD800 <= code < 0xE000:
         return None
     return chr(code), [(m.start(), m.end())]
@@ -177,20 +205,15 @@ def _decode64(run: str, at_of, most: int) -> tuple[str, list[tuple[int, int]]] |
         raw = base64.b64decode(word.replace("-", "+").replace("_", "/") + "=" * (-len(word) % 4), validate=True)
     except binascii.Error:
         return None
-    try:
-        inner = _unpack(raw, most)
-    except TooLong:
-        raise
-    except Exception:  # noqa: BLE001  only looks like compressed data
-        inner = None
-    text = _readable(raw if inner is None else inner)
-    if text is None:
+    inner = _unpack(raw, most)
+    read = _readable(raw if inner is None else inner)
+    if read is None:
         return None
+    text, widths = read
     if inner is not None:
         return text, [(at_of[0], at_of[-1] + 1)] * len(text)
     spans, at = [], 0
-    for c in text:
-        n = len(c.encode())
+    for n in widths:
         spans.append((at_of[at // 3 * 4 + at % 3], at_of[min(len(run), (at + n + 2) // 3 * 4) - 1] + 1))
         at += n
     return text, spans

@@ -86,6 +86,43 @@ def test_wrapped_base64(end, width):
     assert ("access", folded[7:]) in kinds(f"a {folded}{end}")
 
 
+@pytest.mark.parametrize("plain", [
+    f"an id {KEY} end".encode("utf-16"), f"an id {KEY} end".encode("utf-16-le"), f"an id {KEY} end".encode("utf-16-be"), f"\x1b[1m an id {KEY} end".encode(), f"an\x00 id {KEY} end".encode(),
+    f"an\u200b id {KEY} end".encode(), f"caf\xe9 with an id {KEY} end".encode("latin-1"), gzip.compress(b"nothing here, ") + gzip.compress(f"an id {KEY} end".encode()), gzip.compress(f"an\x00 id {KEY} end".encode()),
+    gzip.compress(f"an id {KEY} end of it, and more".encode())[:-6], bz2.compress(b"first") + bz2.compress(KEY.encode()), zstandard.ZstdCompressor().compress(b"first") + zstandard.ZstdCompressor().compress(KEY.encode()), gzip.compress(b"first") + f" then {KEY} as it is".encode(),
+], ids=range(13))
+def test_blobs_that_are_not_plain_text(plain):
+    word = b64(plain)
+    found = kinds(f"blob {word} end")
+    assert [k for k, _ in found] == ["access"] and found[0][1] in word
+
+
+def test_octal_and_named_escapes():
+    assert kinds("\\101KIA1234567890ABCDEF") == [("access", "\\101KIA1234567890ABCDEF")]
+    assert kinds("password&colon; hunter2hunter2") == [("assign", "password&colon; hunter2hunter2")]
+    assert kinds("token&equals;&quot;hunter2hunter2&quot;") == [("assign", "token&equals;&quot;hunter2hunter2")]
+    assert kinds("a&nosuchname;b AT&T; x") == []
+
+
+def test_random_chains_of_encodings():
+    """Whatever the layers are, the secret is found, and its span lies within the encoded part and gives it back."""
+    import random
+
+    rng = random.Random(8)
+    wraps = [
+        lambda t: b64(t), lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("="), lambda t: b64(gzip.compress(t.encode())), lambda t: b64(zlib.compress(t.encode())), lambda t: b64(t.encode("utf-16")),
+        lambda t: "".join(f"%{b:02X}" for b in t.encode()), lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: "".join(f"&#{ord(c)};" for c in t), lambda t: "".join(f"\\x{ord(c):02x}" for c in t),
+    ]
+    for _ in range(150):
+        secret, kind = rng.choice([(KEY, "access"), ("token=abcdefGHIJKLmnop", "assign"), ("0f1e2d3c4b5a69788796a5b4c3d2e1f0", "hex")])
+        text = f"the value {secret} stands here"
+        for _ in range(rng.randrange(1, 5)):
+            text = rng.choice(wraps)(text)
+        whole = f"before it, {text} and behind"
+        spans = [(a, b) for a, k, b in S.scan_text(whole)[1] if S.KINDS[k] == kind]
+        assert spans and all(11 <= a < b <= 11 + len(text) for a, b in spans)
+
+
 def test_bombs_are_reported_and_cycles_end():
     bomb = b64(zlib.compress(b"a" * 1_000_000))
     assert ("packed", bomb) in [(S.KINDS[k], f"x {bomb}"[a:b]) for a, k, b in S.scan_text(f"x {bomb}", most=10_000)[1]]
