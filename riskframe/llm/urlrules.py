@@ -1,14 +1,16 @@
 """URL filters: association rules over URL tokens.
 
-FP-growth mines the combinations of tokens (host labels and their words, path words, extension,
-query keys) of labelled URLs, all of them. A rule is kept if it is frequent and reliable enough and
-no shorter rule among its parts is as reliable. Rules are matched by an inverted index: each rule
+FP-growth mines the combinations of tokens (host labels and the words of compound ones, path words,
+extension, query keys) of labelled URLs, all of them. A rule is kept if enough URLs bear it out, if the
+lower bound of its confidence (Wilson's, so that few URLs prove little) is high enough, and if no
+shorter rule among its parts is as reliable. Tokens that too few bad URLs have are left out before
+mining, as no rule can hold them. Rules are matched by an inverted index: each rule
 is filed under its rarest token, each distinct URL looks up its tokens, and a rule that comes back
 is checked for the rest of its tokens. Rules that are given by hand (host, path) come first.
 
 Defined results for odd input:
 - a null URL, or one without "://", has an empty host and path, fits no rule, and is allowed;
-- no labels, labels of one kind, or none that are reliable: no mined rules, everything is allowed;
+- no labels, no bad ones, or too few for a reliable rule: no mined rules, everything is allowed;
 - a label is bad if any row for the URL says so; repeated pages get a row each;
 - an empty table gives no rows; extra columns are passed on, and give way to results of their name.
 """
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from riskframe.llm.frames import column_index, cut, numbered, pick, table, with_results
 
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.8
+#: URLs that a rule must have blocked rightly, however small the table is, and deviations of the confidence's lower bound.
+MIN_URLS, DEVIATIONS = 20, 2.58
 #: An index of at most so many rules is broadcast; a larger one is joined by a shuffle.
 BROADCAST_RULES = 20_000
 BAD, GOOD = "=bad", "=good"
@@ -43,7 +47,7 @@ def tokens_of(url: Column) -> Column:
     """Distinct tokens, each with a letter for where it stands."""
     host = host_of(url)
     labels = F.split(host, r"\.")
-    words = F.flatten(F.transform(labels, lambda x: F.split(x, "[-_]")))
+    words = F.flatten(F.transform(F.filter(labels, lambda x: x.rlike("[-_]")), lambda x: F.split(x, "[-_]")))
     segments = F.split(path_of(url), "/")
     plain = F.filter(segments, lambda s: s.rlike("^[A-Za-z_-]+$"))
     extension = F.regexp_extract(path_of(url), r"\.([A-Za-z0-9]{1,5})$", 1)
@@ -53,13 +57,29 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.filter(every, lambda x: F.length(x) > 2))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (tokens, confidence, support) from rows (url, bad); all rows are used."""
+def lower_bound(right, n, deviations: float = DEVIATIONS):
+    """Wilson's lower bound of a share of which ``right`` of n were seen."""
+    p, z2 = right / n, deviations * deviations
+    return (p + z2 / (2 * n) - deviations * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_urls: int = MIN_URLS) -> DataFrame:
+    """Rules (tokens, confidence, support) from rows (url, bad); all rows are used. ``confidence`` is the lower bound."""
+    spark = labelled.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = labelled.where("url is not null and bad is not null").groupBy("url").agg(F.max("bad").alias("bad"))
-    baskets = cut(rows.select(F.array_append(tokens_of(F.col("url")), F.when(F.col("bad"), F.lit(BAD)).otherwise(F.lit(GOOD))).alias("items")))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & ~F.array_contains("antecedent", GOOD))
-    rules = cut(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
+    rows = cut(rows.select(tokens_of(F.col("url")).alias("own"), "bad"))
+    n = rows.count()
+    least = max(min_urls, int(-(-min_support * n // 1)))
+    worth = rows.where("bad").select(F.explode("own").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    tokens = [r["token"] for r in worth.collect()]  # each has its share of the bad URLs: 1 / min_support times the tokens of a URL at most
+    baskets = cut(rows.select(F.concat(F.array_intersect("own", F.array(*map(F.lit, tokens)).cast("array<string>")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")).where(F.size("items") > 0).repartition(parts))
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(baskets.count(), 1)), numPartitions=parts).fit(baskets).freqItemsets
+    sets = cut(sets.select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.array_contains("items", BAD).alias("bad"), "freq"))
+    both = sets.where(F.size("tokens") > 0).groupBy("tokens").agg(F.max(F.when(F.col("bad"), F.col("freq"))).alias("right"), F.max(F.when(~F.col("bad"), F.col("freq"))).alias("freq"))
+    bound = lower_bound(F.col("right").cast("double"), F.col("freq").cast("double"))
+    rules = both.where(F.col("right") >= least).select("tokens", bound.alias("confidence"), (F.col("right") / F.lit(max(n, 1))).alias("support"))
+    rules = cut(rules.where(F.col("confidence") >= min_confidence))
     # a rule is worth keeping if leaving out any one token makes it less reliable
     fewer = rules.where(F.size("tokens") > 1).select("tokens", F.col("confidence").alias("c"), F.explode("tokens").alias("without"))
     fewer = fewer.select("tokens", "c", F.array_remove("tokens", F.col("without")).alias("part"))
@@ -97,7 +117,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", given=GIVEN) ->
     at = F.col(f"c{column_index(pages, url)}").cast("string")
     df = df.withColumn("url", at)
     bad = blocked(df.select("url"), rules).withColumn("mined", F.lit("block"))
-    df = df.join(bad, "url", "left").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    # a null url joins nothing: it gets a key of its own, so that such rows don't meet in one task
+    key = F.coalesce("url", F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string")))
+    df = df.withColumn("key", key).join(bad.withColumnRenamed("url", "key"), "key", "left").drop("key").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     rule, verdict = given_rule(F.col("host"), F.col("path"), given)
     df = df.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.col("mined"), F.lit("allow")))
     return with_results(df, names, ["host", "path", "rule", "verdict"])

@@ -57,6 +57,39 @@ def test_mined_combinations_and_index(spark, monkeypatch):
     assert all((r.verdict == "block") == dict(rows)[r.url] for r in got if r.url in dict(rows))
 
 
+def test_a_few_urls_are_no_rule(spark, data):
+    """What few URLs show is chance: no rule from single pages, at any size of the table."""
+    few = [(f"http://site.net/a/{i}?cheap=1", True) for i in range(19)] + [(f"http://site.net/b/{i}", False) for i in range(60)]
+    assert U.mine(spark.createDataFrame(few, "url string, bad boolean")).count() == 0
+    more = [(f"http://site.net/a/{i}?cheap=1", True) for i in range(40)] + [(f"http://site.net/b/{i}", i % 4 == 0) for i in range(60)]
+    assert {tuple(r.tokens) for r in U.mine(spark.createDataFrame(more, "url string, bad boolean")).collect()} == {("p:a",), ("q:cheap",)}
+    assert U.query(spark, data).where("rule IS NULL AND verdict = 'block'").count() == 0
+
+
+def test_rules_against_brute_force(spark):
+    """All subsets of tokens, counted one by one."""
+    from itertools import combinations
+
+    rows = planted()
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    own = {r.url: set(r.own) for r in labelled.select("url", U.tokens_of(labelled.url).alias("own")).collect()}
+    counts = {}
+    for url, bad in rows:
+        for k in range(1, len(own[url]) + 1):
+            for part in combinations(sorted(own[url]), k):
+                n, right = counts.get(part, (0, 0))
+                counts[part] = (n + 1, right + bad)
+    z = U.DEVIATIONS
+
+    def bound(n, right):
+        p = right / n
+        return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+
+    good = {t: bound(n, right) for t, (n, right) in counts.items() if right >= max(U.MIN_URLS, 0.01 * len(rows)) and bound(n, right) >= U.MIN_CONFIDENCE}
+    want = {t for t, c in good.items() if not any(good.get(tuple(x for x in t if x != y), -1) >= c for y in t)}
+    assert {tuple(r.tokens) for r in U.mine(labelled, min_support=0.01).collect()} == want
+
+
 def test_odd_rows(spark):
     pages = odd.docs(spark).withColumnsRenamed({"text": "url"})
     rules = U.mine(spark.createDataFrame([], "url string, bad boolean"))
