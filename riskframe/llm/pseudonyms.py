@@ -20,13 +20,17 @@ Defined results for odd input:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm.frames import column_index, numbered, pick, table, with_results
 
-#: Pass a secret of your own: whoever knows the key can undo the permutation.
-KEY = "riskframe"
+#: The session's setting with the key, a secret of the caller's: whoever knows it can undo the permutation.
+KEY_SETTING = "spark.riskframe.pseudonyms.key"
+#: Where nobody has set one: a key drawn for this driver process, so that all that it writes is linked, and nobody has it afterwards.
+_OWN_KEY = os.urandom(24).hex()
 ROUNDS = 4
 DAYS = (292, 250)  # their product is 73,000 days, near 200 years
 EPOCH = "1900-01-01"
@@ -216,10 +220,16 @@ def replaced(text: Column, kind: Column, key: str) -> Column:
     return out.when(kind == "card", _new_card(text, key)).when(kind == "iban", _new_iban(text, key)).when(kind == "phone", _new_phone(text, key)).otherwise(text)
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, counts: bool = True, length: str | None = None) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or _OWN_KEY
+
+
+def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, counts: bool = True, length: str | None = None) -> DataFrame:
     """docs with personal data replaced in the text, and (on demand) pii_found, a count of each kind found.
 
-    ``length`` names a column that holds the text's code points, which then follows the new text."""
+    ``length`` names a column that holds the text's code points, which then follows the new text. Without a ``key`` the
+    session's setting counts; runs that are to be linked across driver processes need one."""
+    key = key or session_key(docs.sparkSession)
     df, names = numbered(docs)
     body = f"c{column_index(docs, text)}"
     value = F.col(body).cast("string")

@@ -98,3 +98,18 @@ def test_odd_rows_and_plan(spark, data, capsys):
     P.query(spark, data).explain()
     shown = capsys.readouterr().out
     assert "Python" not in shown and "Arrow" not in shown and "Exchange" not in shown
+
+
+def test_the_key_is_the_callers(spark):
+    """No key stands in the code: the session's setting counts, and without one a key that is drawn for the process."""
+    texts = ["write to jane.doe@example.org or call", "card 4111111111111111"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    of = lambda **k: [r.text for r in P.pseudonymise(rows, **k).orderBy("doc_id").collect()]
+    drawn = of()
+    assert drawn == of() != texts
+    spark.conf.set(P.KEY_SETTING, "a secret")
+    try:
+        assert of() == of(key="a secret") != drawn
+    finally:
+        spark.conf.unset(P.KEY_SETTING)
+    assert of() == drawn and not hasattr(P, "KEY")
