@@ -53,15 +53,17 @@ def idempotent_submissions(spark, folder):
 
 @query(
     "d12_retrievals",
-    f"""WITH r AS (SELECT event_id AS request_id, ts, event_id % 500 AS report_id, user_id % 3 AS user_id FROM events),
-m AS (SELECT doc_id AS report_id, doc_id % 3 AS user_id, doc_id % 5 = 0 AS is_read, {_NOW} AS until FROM documents WHERE doc_id < 400),
+    f"""WITH r AS (SELECT event_id AS request_id, ts, event_id * 7919 % (SELECT 2 * count(*) FROM documents) AS report_id, user_id % 3 AS user_id FROM events),
+m AS (SELECT doc_id AS report_id, doc_id % 3 AS user_id, doc_id % 5 = 0 AS is_read, {_NOW} AS until FROM documents),
 f AS (SELECT report_id, user_id, arg_min(request_id, (ts, request_id)) AS f FROM r GROUP BY 1, 2)
 SELECT request_id, CASE WHEN m.report_id IS NULL THEN 'not_found' WHEN is_read OR f <> request_id THEN 'gone' WHEN until <= ts THEN 'expired' ELSE 'served' END AS outcome
 FROM r JOIN f USING (report_id, user_id) LEFT JOIN m USING (report_id, user_id)""",
 )
 def retrievals(spark, folder):
-    requests = events(spark, folder).select(F.col("event_id").alias("request_id"), "ts", (F.col("event_id") % 500).alias("report_id"), (F.col("user_id") % 3).alias("user_id"))
-    meta = documents(spark, folder).where("doc_id < 400").select(
+    """Every document is a report; half of the requests are for reports that aren't there, and of the others a third come from the owner."""
+    n = 2 * documents(spark, folder).count()
+    requests = events(spark, folder).select(F.col("event_id").alias("request_id"), "ts", (F.col("event_id") * 7919 % n).alias("report_id"), (F.col("user_id") % 3).alias("user_id"))
+    meta = documents(spark, folder).select(
         F.col("doc_id").alias("report_id"), (F.col("doc_id") % 3).alias("user_id"), (F.col("doc_id") % 5 == 0).alias("is_retrieved"), F.lit("2024-01-20 00:00:00").cast("timestamp").alias("expires_at"))
     return access.retrieval_outcomes(requests, meta).select("request_id", "outcome")
 
@@ -162,9 +164,16 @@ def callback_urls(spark, folder):
     return table(spark, folder, "pages").select("page_id", network.callback_error(url, ["www.thering.example.org", "M.ththes.example.org"]).alias("reason"))
 
 
-@query("b3_project_ids", "SELECT doc_id, CASE WHEN NOT regexp_full_match(substr(text, 1, CAST(doc_id % 12 AS INTEGER)), '[A-Za-z0-9_-]{1,100}') THEN 'project_id: not allowed' END AS error FROM documents")
+@query(
+    "b3_project_ids",
+    """WITH p AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN source || '-' || doc_id WHEN 1 THEN source || ' ' || doc_id WHEN 2 THEN lang || repeat('_', CAST(doc_id % 130 AS INTEGER)) || doc_id WHEN 3 THEN text END AS id FROM documents)
+SELECT doc_id, CASE WHEN NOT coalesce(regexp_full_match(id, '[A-Za-z0-9_-]{1,100}'), false) THEN 'project_id: not allowed' END AS error FROM p""",
+)
 def project_ids(spark, folder):
-    return documents(spark, folder).select("doc_id", validate.project_error(F.substring("text", F.lit(1), (F.col("doc_id") % 12).cast("int"))).alias("error"))
+    """Ids of every kind, whole: plain, with a blank, too long, whole texts, and none."""
+    at, number = F.col("doc_id"), F.col("doc_id").cast("string")
+    made = F.when(at % 5 == 0, F.concat("source", F.lit("-"), number)).when(at % 5 == 1, F.concat("source", F.lit(" "), number)).when(at % 5 == 2, F.concat("lang", F.repeat(F.lit("_"), (at % 130).cast("int")), number)).when(at % 5 == 3, F.col("text"))
+    return documents(spark, folder).select("doc_id", validate.project_error(made).alias("error"))
 
 
 @query(

@@ -398,7 +398,25 @@ def chunks(spark, folder):
     return chunking.chunk_documents(kb_text(spark, folder), chunker=lambda c: chunking.chunks(c, strict=False))
 
 
-@query("c11_chunks_strict")
+_ROOM = CHUNK_MAX - CHUNK_OVERLAP - 2
+#: The strict form: slices of paragraphs that fit, and no last chunk that is an overlap alone.
+CHUNKS_STRICT = CHUNKS.replace(
+    f"""SELECT doc_id, list(CAST({{'off': off, 'body': {strip_sql('piece')}}} AS STRUCT(off INTEGER, body VARCHAR)) ORDER BY i) AS l
+  FROM placed WHERE {strip_sql('piece')} <> '' GROUP BY doc_id""",
+    f"""SELECT doc_id, list(CAST({{'off': off + s * {_ROOM}, 'body': substr(body, CAST(s * {_ROOM} + 1 AS INTEGER), {_ROOM})}} AS STRUCT(off INTEGER, body VARCHAR)) ORDER BY i, s) AS l
+  FROM (SELECT doc_id, i, off, {strip_sql('piece')} AS body, unnest(range(0, (length({strip_sql('piece')}) - 1) // {_ROOM} + 1)) AS s FROM placed WHERE {strip_sql('piece')} <> '') GROUP BY doc_id""",
+).replace(
+    f"CASE WHEN {strip_sql('z.buf')} <> '' THEN",
+    f"CASE WHEN {strip_sql('z.buf')} <> '' AND NOT coalesce(len(z.out) > 0 AND length({strip_sql('z.buf')}) <= {CHUNK_OVERLAP} AND suffix(z.out[-1].body, {strip_sql('z.buf')}), false) THEN",
+)
+
+
+@query(
+    "c11_chunks_strict",
+    f"""WITH {CHUNKS_STRICT}
+SELECT doc_id, chunk_no, CAST(doc_id AS VARCHAR) || ':' || CASE WHEN chunk_no < 1000 THEN lpad(CAST(chunk_no AS VARCHAR), 4, '0') ELSE CAST(chunk_no AS VARCHAR) END AS chunk_id,
+  chunk_text, chunk_offset, CAST(length(chunk_text) AS INTEGER) AS length, sha256(chunk_text) AS hash FROM chunk_rows""",
+)
 def chunks_strict(spark, folder):
     return chunking.chunk_documents(kb_text(spark, folder))
 

@@ -30,6 +30,51 @@ def nearest_chunks(spark, folder):
     return nearest.knn(queries, index, _K).select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+_NOW = "2024-01-20 00:00:00"
+_LIVE = f"""kb AS (SELECT vec_id AS chunk_id, label % 2 AS tenant_id, embedding, 'Title ' || vec_id % 90 AS title, vec_id % 90 AS doc_id, repeat('text ' || vec_id || ' ', 1 + CAST(vec_id % 3 AS INTEGER)) AS chunk_text,
+  TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 DAY * CAST(vec_id % 90 % 40 AS INTEGER) AS until FROM embeddings),
+pairs AS (SELECT q.vec_id AS query_id, c.*, round(list_cosine_distance(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 12) AS d
+  FROM embeddings q JOIN kb c ON q.label % 2 = c.tenant_id WHERE q.vec_id % 20 = 0 AND until > TIMESTAMP '{_NOW}'),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS k FROM pairs) WHERE k <= {_K})"""
+
+
+def _store(spark, folder):
+    """(queries, documents, chunks with vectors): ninety documents, which expire on forty days."""
+    rows = table(spark, folder, "embeddings")
+    doc = F.col("vec_id") % 90
+    until = F.timestamp_add("DAY", (doc % 40).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    chunks = rows.select(
+        F.col("vec_id").alias("chunk_id"), (F.col("label") % 2).alias("tenant_id"), "embedding", doc.alias("doc_id"), until.alias("until"),
+        F.repeat(F.concat(F.lit("text "), F.col("vec_id").cast("string"), F.lit(" ")), (1 + F.col("vec_id") % 3).cast("int")).alias("chunk_text"))
+    docs = chunks.groupBy("doc_id").agg(F.min("until").alias("expires_at")).select("doc_id", F.concat(F.lit("Title "), F.col("doc_id").cast("string")).alias("title"), F.array().cast("array<string>").alias("tags"), "expires_at")
+    return _sides(spark, folder)[0], docs, chunks
+
+
+def _found_live(spark, folder):
+    queries, docs, chunks = _store(spark, folder)
+    index = nearest.build_index(chunks, run_dir(spark, "nearest"), _DIM)
+    return queries, nearest.search_live(queries, docs, chunks, index, F.lit(_NOW).cast("timestamp"), _K)
+
+
+@query("d6_nearest_live_chunks", f"WITH {_LIVE} SELECT query_id, chunk_id, title, round(d, 6) AS distance, CAST(k AS INTEGER) AS rank FROM hits")
+def nearest_live_chunks(spark, folder):
+    return _found_live(spark, folder)[1].select("query_id", "chunk_id", "title", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(
+    "i7_context_texts",
+    f"""WITH {_LIVE}, b AS (SELECT query_id, k, '[' || title || '] ' || CASE WHEN length(trim(chunk_text)) > 18 THEN rtrim(substr(trim(chunk_text), 1, 18)) || '...' ELSE trim(chunk_text) END AS block FROM hits)
+SELECT q.vec_id AS query_id, coalesce(string_agg(block, chr(10) || chr(10) ORDER BY k), '(none)') AS kb_context FROM embeddings q LEFT JOIN b ON b.query_id = q.vec_id WHERE q.vec_id % 10 = 0 GROUP BY q.vec_id""",
+)
+def context_texts(spark, folder):
+    """Scenes that ask for context (every second one asks nothing) with what was found for them."""
+    from riskframe.operators.knowledge import context_text
+
+    _, hits = _found_live(spark, folder)
+    scenes = table(spark, folder, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"))
+    return context_text(scenes, hits.select("query_id", "rank", "title", "chunk_text"), ["query_id"], 18)
+
+
 @query(
     "g1_nearest_to_one",
     f"""SELECT c.vec_id AS chunk_id, round(list_cosine_distance(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS distance

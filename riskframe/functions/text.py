@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.limits import REDACTED, SENSITIVE_FIELDS
+from riskframe.limits import REDACTED
+from riskframe.schemas import CONTENT_COLUMNS
 
 # The characters counted as white space, as the inside of a character class.
 WS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -142,7 +143,7 @@ def redact(c: Column, dtype: T.DataType) -> Column:
     return F.when(c.isNull(), F.lit(REDACTED)).otherwise(out)
 
 
-def redact_frame(df, sensitive: Sequence[str] = SENSITIVE_FIELDS):
+def redact_frame(df, sensitive: Sequence[str] = CONTENT_COLUMNS):
     """Replace content-bearing columns by their markers, leave the others."""
     hide = set(sensitive)
     return df.select(

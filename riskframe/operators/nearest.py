@@ -1,12 +1,19 @@
 """k nearest chunks per query by cosine distance: an index in the shared folder, and searches in it.
 
-``build_index`` assigns every unit vector to the nearest of about sqrt(n) pivots, once, and writes
-the cells. ``search`` is exact: a query first looks into the cells around it, which bounds its k-th
-distance, and then only into the cells that the triangle inequality cannot rule out. With ``probes``
-it stops after so many nearest cells, like an inverted file; that is faster and approximate, and
-its recall is measured in the tests. Cells and the queries that probe them are dealt in blocks of a
-bounded size, so a cell or tenant that holds a third of all rows is many tasks; a task compares two
-blocks as one matrix product and gives back at most k rows for each query.
+``build_index`` assigns every unit vector to the nearest of about sqrt(n) pivots, once, and writes the
+cells. Pivots have pivots of their own: a coarse cell is the cells of the pivots around one of them. The
+placed vectors are partitioned by tenant and coarse cell and sorted by cell within, so a search opens the
+files of the coarse cells that it probes, and of these the row groups of its cells.
+
+``search`` is exact: a query first looks into the cells around it, which bounds its k-th distance, and
+then only into the cells that the triangle inequality cannot rule out. With ``probes`` it stops after so
+many nearest cells, like an inverted file; that is faster and approximate, and its recall is measured in
+the tests. Where a query has to look is found once and written down. Cells and the queries that probe them
+are dealt in blocks of a bounded size, so a cell or tenant that holds a third of all rows is many tasks; a
+task compares two blocks as one matrix product and gives back at most k rows for each query.
+
+Vectors may carry ``until``, the time at which they expire: a search at a time filters them while it reads,
+and counts its cells by the live ones alone, from three narrow columns.
 
 Vectors that are missing, zero, or of another length than the index's are set aside with a reason.
 """
@@ -28,6 +35,8 @@ from riskframe.functions.vectors import cosine_distance, norm
 PLACES = 12
 #: Most pivots, and rows of a block on either side.
 MAX_PIVOTS, BLOCK = 4096, 2048
+#: Partitions (tenant, coarse cell) that are named in the filter of a search; more of them are joined.
+FILTER_PARTS = 2000
 _SLACK = 1e-7
 
 
@@ -38,10 +47,29 @@ class Index:
     folder: str
     dim: int
     pivots: np.ndarray
+    coarse: np.ndarray  # the coarse cell of each pivot
 
     def read(self, spark, name: str) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/{name}")
 
+    def vectors(self, spark, parts: DataFrame | None = None) -> DataFrame:
+        """The placed vectors; with ``parts(part)`` only those of these partitions."""
+        placed = self.read(spark, "placed")
+        if parts is None:
+            return placed
+        names = [r["part"] for r in parts.select("part").distinct().limit(FILTER_PARTS + 1).collect()]
+        return placed.where(F.col("part").isin(names)) if len(names) <= FILTER_PARTS else placed.join(parts.select("part").distinct(), "part", "left_semi")
+
+
+def _part(coarse: Column) -> Column:
+    """The partition of a tenant's coarse cell, as a name."""
+    return F.concat(F.coalesce(F.col("tenant_id").cast("string"), F.lit("")), F.lit("~"), coarse.cast("string"))
+
+
+def pivots_of(unit: np.ndarray, n: int) -> np.ndarray:
+    """The number of the nearest of the first n vectors, for each vector."""
+    return _chords(unit, unit[:n]).argmin(axis=1).astype(np.int32)
+
 
 def reject_reason(embedding: Column, dim: int) -> Column:
     """Why a vector has no place in an index of ``dim`` dimensions, NULL if it has."""
@@ -67,28 +95,33 @@ def _fields(df: DataFrame, *names: str) -> str:
 
 
 def build_index(chunks: DataFrame, folder: str, dim: int, pivots: int | None = None) -> Index:
-    """Write the index of ``chunks(chunk_id, tenant_id, embedding)`` to a new folder."""
+    """Write the index of ``chunks(chunk_id, tenant_id, embedding[, until])`` to a new folder."""
     spark = chunks.sparkSession
-    rows = chunks.select("chunk_id", "tenant_id", "embedding").withColumn("reason", reject_reason(F.col("embedding"), dim))
+    until = F.col("until").cast("timestamp") if "until" in chunks.columns else F.lit(None).cast("timestamp")
+    rows = chunks.select("chunk_id", "tenant_id", "embedding", until.alias("until")).withColumn("reason", reject_reason(F.col("embedding"), dim))
     rows.where("reason IS NOT NULL").select("chunk_id", "tenant_id", "reason").write.parquet(f"{folder}/rejected")
     good = rows.where("reason IS NULL").drop("reason")
     wanted = pivots or min(MAX_PIVOTS, max(1, math.ceil(math.sqrt(good.count()))))
     picked = good.orderBy(F.xxhash64(F.col("chunk_id").cast("string")), "chunk_id").limit(wanted)
     found = picked.select("embedding").toPandas()["embedding"]  # MAX_PIVOTS vectors at most
     centres = _unit(found) if len(found) else np.zeros((1, dim))
-    shared = spark.sparkContext.broadcast(centres)
+    coarse = pivots_of(centres, max(1, math.ceil(math.sqrt(len(centres)))))
+    shared = spark.sparkContext.broadcast((centres, coarse))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                d = _chords(_unit(pdf["embedding"]), shared.value)
+                d = _chords(_unit(pdf["embedding"]), shared.value[0])
                 cell = d.argmin(axis=1)
-                yield pdf.assign(cell=cell.astype(np.int32), r=d[np.arange(len(d)), cell])
+                yield pdf.assign(cell=cell.astype(np.int32), r=d[np.arange(len(d)), cell], coarse=shared.value[1][cell])
 
-    placed = good.mapInPandas(assign, f"{_fields(good, 'chunk_id', 'tenant_id', 'embedding')}, cell int, r double")
-    placed.write.parquet(f"{folder}/placed")
+    placed = good.mapInPandas(assign, f"{_fields(good, 'chunk_id', 'tenant_id', 'embedding', 'until')}, cell int, r double, coarse int")
+    placed = placed.withColumn("part", _part(F.col("coarse")))
+    files = max(1, min(32, math.ceil(good.count() / 2_000_000)))  # of a partition, so that a large one is more than one task
+    salted = placed.repartition(F.col("part"), F.pmod(F.xxhash64("cell"), F.lit(files)))
+    salted.sortWithinPartitions("part", "cell").write.partitionBy("part").parquet(f"{folder}/placed")
     _cells(spark.read.parquet(f"{folder}/placed")).write.parquet(f"{folder}/cells")
-    return Index(folder, dim, centres)
+    return Index(folder, dim, centres, coarse)
 
 
 def _route(queries: DataFrame, index: Index, cells: DataFrame, k: int, block: int, probes: int | None) -> DataFrame:
@@ -120,7 +153,9 @@ def _route(queries: DataFrame, index: Index, cells: DataFrame, k: int, block: in
             yield base.assign(**{c: rows[c].to_numpy() for c in ("cell", "blocks", "home", "lower")})
 
     asked = queries.join(known, "tenant_id").select("tenant_id", "query_id", "embedding", "cells")
-    return asked.mapInPandas(route, f"{_fields(queries, 'tenant_id', 'query_id', 'embedding')}, cell int, blocks int, home boolean, lower double")
+    routed = asked.mapInPandas(route, f"{_fields(queries, 'tenant_id', 'query_id', 'embedding')}, cell int, blocks int, home boolean, lower double")
+    group = F.get(F.array(*[F.lit(int(c)) for c in index.coarse]), F.col("cell"))
+    return routed.drop("embedding").withColumn("part", _part(group))
 
 
 def _top_k(query_ids, dist: np.ndarray, chunk_ids: np.ndarray, k: int) -> pd.DataFrame:
@@ -166,31 +201,44 @@ def _cells(placed: DataFrame) -> DataFrame:
     return placed.groupBy("tenant_id", "cell").agg(F.count("*").alias("n"), F.max("r").alias("radius"))
 
 
-def knn(queries: DataFrame, index: Index, k: int, probes: int | None = None, block: int = BLOCK, among: DataFrame | None = None) -> DataFrame:
+def knn(queries: DataFrame, index: Index, k: int, probes: int | None = None, block: int = BLOCK, among: DataFrame | None = None, now: Column | None = None) -> DataFrame:
     """``queries(query_id, tenant_id, embedding)`` against the index, each within its tenant:
-    query_id, chunk_id, distance, rank (1..k). Nothing runs until the result is asked for.
+    query_id, chunk_id, distance, rank (1..k).
+
+    With ``now`` the index is taken to hold the vectors that live then, with ``among(chunk_id)`` these only. Where the
+    queries look, and what they find at home, is written to the shared folder at once, as each step is told by the one
+    before what it has to read; the rest waits until the result is asked for."""
+    from riskframe.session import run_dir
 
-    With ``among(chunk_id)`` the index is taken to hold these chunks only."""
     spark = queries.sparkSession
+    live = lambda rows: rows if now is None else rows.where(F.col("until").isNull() | (F.col("until") > now))
+    mine = lambda rows: rows if among is None else rows.join(among.select("chunk_id"), "chunk_id", "left_semi")
     placed = index.read(spark, "placed")
-    if among is not None:
-        placed = placed.join(among.select("chunk_id"), "chunk_id", "left_semi")
-    cells = index.read(spark, "cells") if among is None else _cells(placed)
-    placed = placed.drop("r")
+    cells = index.read(spark, "cells") if among is None and now is None else _cells(mine(live(placed)))
     ids = f"{_fields(queries, 'query_id')}, {_fields(placed, 'chunk_id')}, distance double"
     if k <= 0:
         return spark.createDataFrame([], ids + ", rank int")
     usable = queries.select("query_id", "tenant_id", "embedding").where(reject_reason(F.col("embedding"), index.dim).isNull())
-    routed = _route(usable, index, cells, k, block, probes)
-    near = _ranked(_compare(routed.where("home"), placed, k, block, ids), k)
+    folder = run_dir(spark, "nearest-routes")
+    _route(usable, index, cells, k, block, probes).write.parquet(f"{folder}/routes")
+    routed = spark.read.parquet(f"{folder}/routes")
+    asked = usable.select("query_id", "tenant_id", "embedding")
+
+    def compare(probing: DataFrame) -> DataFrame:
+        vectors = mine(live(index.vectors(spark, probing))).select("tenant_id", "cell", "chunk_id", "embedding")
+        return _compare(probing.drop("part").join(asked, ["query_id", "tenant_id"]), vectors, k, block, ids)
+
+    near = _ranked(compare(routed.where("home")), k)
     if probes:
         return near
+    near.write.parquet(f"{folder}/near")  # k rows a query
+    near = spark.read.parquet(f"{folder}/near")
     best = near.groupBy("query_id").agg(F.max("distance").alias("kth"), F.count("*").alias("n"))
     # a cosine distance x of unit vectors is a chord of sqrt(2x)
     bound = F.when(F.col("n") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 * F.col("kth"))) + _SLACK)
     far = routed.where("NOT home").join(best.select("query_id", bound.alias("bound")), "query_id", "left")
     far = far.where(F.col("bound").isNull() | (F.col("lower") <= F.col("bound"))).drop("bound")
-    return _ranked(near.drop("rank").unionByName(_compare(far, placed, k, block, ids)), k)
+    return _ranked(near.drop("rank").unionByName(compare(far)), k)
 
 
 def rejected_queries(queries: DataFrame, dim: int) -> DataFrame:
@@ -216,3 +264,10 @@ def search(queries: DataFrame, docs: DataFrame, chunks: DataFrame, index: Index,
     live = docs.where(is_live(now)).select("doc_id", "title", "tags")
     found = chunks.select("chunk_id", "doc_id", "chunk_text").join(live, "doc_id")
     return knn(queries, index, k, among=found, **options).join(found, "chunk_id")
+
+
+def search_live(queries: DataFrame, docs: DataFrame, chunks: DataFrame, index: Index, now: Column, k: int, **options) -> DataFrame:
+    """The same for an index whose vectors carry ``until`` and whose documents are all there: nothing but the hits is joined."""
+    hits = knn(queries, index, k, now=now, **options)
+    text = chunks.select("chunk_id", "doc_id", "chunk_text").join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return hits.join(text, "chunk_id").join(docs.select("doc_id", "title", "tags"), "doc_id")

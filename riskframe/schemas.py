@@ -1,7 +1,9 @@
-"""Declared schemas; nothing is inferred."""
+"""Declared schemas; nothing is inferred. Columns that hold content of scripts or documents say so in their comment."""
+
+import re
 
 SUBMISSION = (
-    "submission_id STRING, ts TIMESTAMP, user_id STRING, script_content STRING, script_format STRING, "
+    "submission_id STRING, ts TIMESTAMP, user_id STRING, script_content STRING COMMENT 'content', script_format STRING, "
     "project_id STRING, script_id INT, callback_url STRING, delivery STRING, idempotency_key STRING, "
     "priority INT, metadata MAP<STRING,STRING>"
 )
@@ -10,19 +12,22 @@ FDX = (
     "Paragraph: ARRAY<STRUCT<Text: ARRAY<STRING>>>>, "
     "Content STRUCT<Paragraph: ARRAY<STRUCT<_Type: STRING, _Number: STRING, Text: ARRAY<STRING>>>>"
 )
+SCRIPT_TEXT = "script_id BIGINT, full_text STRING COMMENT 'content'"
+PAGE_TEXT = "script_id BIGINT, page_no INT, text STRING COMMENT 'content'"
+SCENE_TEXT = "scene_ix INT, heading STRING, action_text STRING COMMENT 'content', dialogue ARRAY<STRING> COMMENT 'content'"
 KB_DOCUMENT = (
     "doc_id STRING, tenant_id STRING, title STRING, source STRING, tags ARRAY<STRING>, content_hash STRING, "
-    "original BINARY, key_id STRING, uploaded_by STRING, ttl_hours INT, created_at TIMESTAMP, expires_at TIMESTAMP"
+    "original BINARY COMMENT 'content', key_id STRING, uploaded_by STRING, ttl_hours INT, created_at TIMESTAMP, expires_at TIMESTAMP"
 )
 KB_CHUNK = (
-    "doc_id STRING, chunk_id STRING, chunk_text STRING, embedding ARRAY<FLOAT>, dim INT, chunk_offset INT, "
+    "doc_id STRING, chunk_id STRING, chunk_text STRING COMMENT 'content', embedding ARRAY<FLOAT>, dim INT, chunk_offset INT, "
     "length INT, hash STRING"
 )
 MEASURE_STRUCT = "STRUCT<code: STRING, title: STRING, responsible: STRING, due: STRING>"
 FINDING = (
     "report_id STRING, scene_ix INT, finding_ix BIGINT, scene_number STRING, risk_level STRING, category STRING, "
-    "risk_class STRING, rule_id STRING, likelihood INT, impact INT, description STRING, recommendation STRING, "
-    f"measures ARRAY<{MEASURE_STRUCT}>, confidence DOUBLE, line_reference STRING, evidence STRING, "
+    "risk_class STRING, rule_id STRING, likelihood INT, impact INT, description STRING COMMENT 'content', recommendation STRING COMMENT 'content', "
+    f"measures ARRAY<{MEASURE_STRUCT}>, confidence DOUBLE, line_reference STRING, evidence STRING COMMENT 'content', "
     "vulnerability STRING, complexity STRING, exposure_duration STRING"
 )
 JOB = (
@@ -42,3 +47,8 @@ API_KEY = "key_hash STRING, user_id STRING, name STRING, is_active BOOLEAN, expi
 RISK_CLASS = "risk_class STRING, category STRING, rule_id STRING, description STRING, ord BIGINT"
 MEASURE = "code STRING, title STRING, responsible STRING, due STRING, ord INT"
 MEASURE_APPLIES = "code STRING, risk_class STRING, ord INT"
+
+#: Names of the columns with content: what leaves the tables is redacted there, and metadata never hold them.
+CONTENT_COLUMNS = tuple(sorted({
+    name for ddl in (SUBMISSION, SCRIPT_TEXT, PAGE_TEXT, SCENE_TEXT, KB_DOCUMENT, KB_CHUNK, FINDING) for name in re.findall(r"(\w+) [A-Z<>]+ COMMENT 'content'", ddl)
+}))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.limits import SENSITIVE_FIELDS
 from riskframe.operators.report import PART_KEYS
+from riskframe.schemas import CONTENT_COLUMNS
 
 
 def write_reports(reports: DataFrame, parts: DataFrame, path: str, key: str = "report_id") -> None:
@@ -27,7 +27,7 @@ def write_assessments(payload: DataFrame, path: str, key: str = "report_id") ->
 
 def write_metadata(df: DataFrame, path: str, by: str | None = None) -> None:
     """Append rows to a metadata table; a column with content is an error, since content must not stay."""
-    bodies = sorted(set(df.columns) & set(SENSITIVE_FIELDS))
+    bodies = sorted(set(df.columns) & set(CONTENT_COLUMNS))
     if bodies:
         raise ValueError(f"metadata must not hold {', '.join(bodies)}")
     out = df.write.mode("append")
