@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from riskframe.catalog.inputs import documents, table
+from riskframe.catalog.inputs import documents, strip_sql, table
 from riskframe.catalog.registry import query
 from riskframe.functions import network, text as texts
 from riskframe.operators import access, rollups, validate
@@ -178,8 +178,11 @@ def project_ids(spark, folder):
 
 @query(
     "b2_body_checks",
-    """SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN ['content: not base64'] WHEN 2 THEN ['content: not a PDF'] WHEN 3 THEN ['content: null bytes'] ELSE [] END::VARCHAR[] AS errors
-FROM (SELECT doc_id FROM documents)""",
+    """WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN '*' || base64(encode(text)) WHEN 3 THEN base64(encode(text || chr(0))) ELSE base64(encode(text)) END AS c, CASE WHEN doc_id % 4 = 2 THEN 'pdf' ELSE 'fdx' END AS fmt FROM documents),
+o AS (SELECT *, regexp_full_match(c, '(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?') AND c <> '' AS ok FROM p), b AS (SELECT *, CASE WHEN ok THEN from_base64(c) END AS body FROM o)
+SELECT doc_id, list_filter([CASE WHEN c = '' THEN 'content: empty' WHEN NOT ok THEN 'content: not base64' END, CASE WHEN length(c) > 10485760 THEN 'content: encoded text too long' END,
+  CASE WHEN octet_length(body) > 10485760 THEN 'content: body too large' END, CASE WHEN fmt = 'fdx' AND contains(decode(body), chr(0)) THEN 'content: null bytes' END,
+  CASE WHEN fmt = 'pdf' AND NOT starts_with(decode(body), '%PDF') THEN 'content: not a PDF' END], lambda x: x IS NOT NULL) AS errors FROM b""",
 )
 def body_checks(spark, folder):
     """Whole bodies: a NUL at the very end is found, and a character of several bytes may stand anywhere."""
@@ -197,9 +200,14 @@ def enumerations(spark, folder):
     return table(spark, folder, "conversations").select("conv_id", "turn", texts.in_list(padded, ("USER", "SYSTEM")).alias("role"))
 
 
-@query("b11_tags", "SELECT doc_id, lang || '|' || source AS tags FROM documents")
+@query(
+    "b11_tags",
+    f"""WITH g AS (SELECT doc_id, ' ,' || lang || ' , ,' || replace(text, ' ', ',') || ',' || source || ',' AS given FROM documents)
+SELECT doc_id, array_to_string(list_filter(list_transform(string_split(given, ','), lambda t: {strip_sql("t")}), lambda t: t <> ''), '|') AS tags FROM g""",
+)
 def tags(spark, folder):
-    given = F.concat(F.lit(" ,"), "lang", F.lit(" , ,"), "source", F.lit(","))
+    """Lists with blanks, empty places and repeats, made of the texts' words."""
+    given = F.concat(F.lit(" ,"), "lang", F.lit(" , ,"), F.replace("text", F.lit(" "), F.lit(",")), F.lit(","), "source", F.lit(","))
     return documents(spark, folder).select("doc_id", F.array_join(validate.parse_tags(given), "|").alias("tags"))
 
 
