@@ -78,19 +78,42 @@ class Lexicon:
         number[words == END] = 0
         order = np.argsort(words)
         self.words, self.counts, self.number = words[order], counts[order], number[order]
-        self.gains = np.log10(self.counts + 1.0)
+        self.gains, self.slots, self.shift = np.log10(self.counts + 1.0), None, 0
         small = np.flatnonzero(self.number != 1)  # what the network knows by name: a table that stays in the cache
         self.known, self.known_number = self.words[small], self.number[small]
         self.other = int(total - ends - counts[named].sum())
         self.other_words = int(distinct - len(named) - (ends > 0))
         self.sizes = np.concatenate(([ends, self.other], counts[named])).astype(float)
 
+    def _slots(self) -> tuple[np.ndarray, int]:
+        """Places of the words by the upper bits of their hashes (the next free slot, if one is taken), and bits to shift by."""
+        if self.slots is None:
+            size = 1 << max(4, int(4 * len(self.words)).bit_length())
+            shift = 64 - (size.bit_length() - 1)
+            slots, left = np.full(size, -1, dtype=np.int32), np.arange(len(self.words), dtype=np.int32)
+            at = (self.words.view(U64) >> U64(shift)).astype(np.int64)
+            while len(left):
+                free = slots[at] < 0
+                slots[at[free]] = left[free]  # of several for one slot the last stays
+                lost = slots[at] != left
+                left, at = left[lost], (at[lost] + 1) & (size - 1)
+            self.slots, self.shift = slots, shift
+        return self.slots, self.shift
+
     def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of each token in the table, and whether it is there."""
+        place, there = np.zeros(len(tokens), dtype=np.int64), np.zeros(len(tokens), dtype=bool)
         if not len(self.words):
-            return np.zeros(len(tokens), dtype=np.int64), np.zeros(len(tokens), dtype=bool)
-        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        return at, self.words[at] == tokens
+            return place, there
+        slots, shift = self._slots()
+        left, at = np.arange(len(tokens)), (tokens.view(U64) >> U64(shift)).astype(np.int64)
+        while len(left):
+            found = slots[at]
+            same = (found >= 0) & (self.words[found] == tokens[left])
+            place[left[same]], there[left[same]] = found[same], True
+            on = (found >= 0) & ~same
+            left, at = left[on], (at[on] + 1) & (len(slots) - 1)
+        return place, there
 
     def numbers(self, tokens: np.ndarray) -> np.ndarray:
         if not len(self.known):
