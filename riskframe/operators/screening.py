@@ -14,12 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Most rules that are broadcast; the rules' patterns are the caller's and as long as they are.
 MOST_RULES = 200_000
+_BETWEEN = "\x1f"
 
 
 @dataclass(frozen=True)
@@ -87,6 +88,13 @@ def candidates(df: DataFrame, rules: Sequence[Rule], text: str, out: str = "_nea
     return df.mapInArrow(run, shape)
 
 
+def _constant(items: list[str]) -> Column:
+    """An array that Spark folds into one literal; as so many literals it would cost more than the screening."""
+    if any(_BETWEEN in x for x in items):
+        raise ValueError("rules and patterns must not hold the unit separator")
+    return F.split(F.lit(_BETWEEN.join(items)), _BETWEEN)
+
+
 def screen(df: DataFrame, rules: Sequence[Rule], text: str = "text") -> DataFrame:
     """Adds ``rule`` (the first rule in their order that matches, NULL if none), ``rules`` (all that match, in order) and ``is_safe``.
 
@@ -94,8 +102,8 @@ def screen(df: DataFrame, rules: Sequence[Rule], text: str = "text") -> DataFram
     near = candidates(df, rules, text)
     if not rules:
         return near.drop("_near").withColumns({"rule": F.lit(None).cast("string"), "rules": F.array().cast("array<string>"), "is_safe": F.lit(True)})
-    table = F.lit([r.rule for r in rules])
-    patterns = F.lit([("(?i)" if r.fold else "") + r.pattern for r in rules])
+    table = _constant([r.rule for r in rules])
+    patterns = _constant([("(?i)" if r.fold else "") + r.pattern for r in rules])
     hits = F.filter("_near", lambda i: F.rlike(F.col(text), F.get(patterns, i)))
     out = near.withColumn("rules", F.transform(hits, lambda i: F.get(table, i)))
     return out.drop("_near").withColumn("rule", F.get("rules", F.lit(0))).withColumn("is_safe", F.col("rule").isNull())

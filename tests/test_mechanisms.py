@@ -115,7 +115,8 @@ def test_two_thousand_rules_are_not_much_dearer_than_twenty(spark):
 
     seconds(rules[:20])
     few, many = min(seconds(rules[:20]) for _ in range(2)), min(seconds(rules) for _ in range(2))
-    assert many[1] > 100 and many[0] < 3 * few[0] + 0.3
+    print("seconds for 20 and for 2,000 rules:", few[0], many[0])
+    assert many[1] > 100 and many[0] < 3 * few[0]
     assert {(r.rule, r.is_safe) for r in screening.screen(df, []).collect()} == {(None, True)}
     by_hand = screening.screen(spark.createDataFrame([("AB cd ab",)], "text string"), [screening.Rule("x", "ab cd", True, "Ab"), screening.Rule("y", "AB", False, "AB"), screening.Rule("z", "ab$", False, "ab")]).first()
     assert (by_hand.rule, by_hand.rules) == ("x", ["x", "y", "z"])
