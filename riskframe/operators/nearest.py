@@ -35,6 +35,8 @@ from riskframe.functions.vectors import cosine_distance, norm
 PLACES = 12
 #: Most pivots, and rows of a block on either side.
 MAX_PIVOTS, BLOCK = 4096, 2048
+#: Rows whose distances from all pivots a task holds at a time.
+ROUTED = 256
 #: Partitions (tenant, coarse cell) that are named in the filter of a search; more of them are joined.
 FILTER_PARTS = 2000
 _SLACK = 1e-7
@@ -68,7 +70,7 @@ def _part(coarse: Column) -> Column:
 
 def pivots_of(unit: np.ndarray, n: int) -> np.ndarray:
     """The number of the nearest of the first n vectors, for each vector."""
-    return _chords(unit, unit[:n]).argmin(axis=1).astype(np.int32)
+    return _nearest(unit, unit[:n])[0]
 
 
 def reject_reason(embedding: Column, dim: int) -> Column:
@@ -90,6 +92,16 @@ def _chords(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (unit @ pivots.T)))
 
 
+def _nearest(unit: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of every row and its distance, with ROUTED rows of distances at a time."""
+    cell, r = np.zeros(len(unit), np.int32), np.zeros(len(unit))
+    for at in range(0, len(unit), ROUTED):
+        d = _chords(unit[at : at + ROUTED], pivots)
+        cell[at : at + ROUTED] = near = d.argmin(axis=1)
+        r[at : at + ROUTED] = d[np.arange(len(d)), near]
+    return cell, r
+
+
 def _fields(df: DataFrame, *names: str) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
@@ -111,9 +123,8 @@ def build_index(chunks: DataFrame, folder: str, dim: int, pivots: int | None = N
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                d = _chords(_unit(pdf["embedding"]), shared.value[0])
-                cell = d.argmin(axis=1)
-                yield pdf.assign(cell=cell.astype(np.int32), r=d[np.arange(len(d)), cell], coarse=shared.value[1][cell])
+                cell, r = _nearest(_unit(pdf["embedding"]), shared.value[0])
+                yield pdf.assign(cell=cell, r=r, coarse=shared.value[1][cell])
 
     placed = good.mapInPandas(assign, f"{_fields(good, 'chunk_id', 'tenant_id', 'embedding', 'until')}, cell int, r double, coarse int")
     placed = placed.withColumn("part", _part(F.col("coarse")))
@@ -125,37 +136,48 @@ def build_index(chunks: DataFrame, folder: str, dim: int, pivots: int | None = N
 
 
 def _route(queries: DataFrame, index: Index, cells: DataFrame, k: int, block: int, probes: int | None) -> DataFrame:
-    """Each query with the cells that it has to look into: at home first, others with a lower bound."""
-    spark = queries.sparkSession
-    cells = cells.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    known = cells.groupBy("tenant_id").agg(F.collect_list(F.struct("cell", "n", "radius", "blocks")).alias("cells"))  # MAX_PIVOTS at most
-    shared = spark.sparkContext.broadcast(index.pivots)
+    """Each query with the cells that it has to look into: at home first, others with a lower bound.
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            dist, picks = _chords(_unit(pdf["embedding"]), shared.value), []
-            for i, own in enumerate(pdf["cells"]):
-                cell, n, radius, blocks = (np.array([c[f] for c in own]) for f in ("cell", "n", "radius", "blocks"))
-                d = dist[i, cell]
-                near = np.argsort(d, kind="stable")
-                home = np.zeros(len(cell), bool)
-                home[near[: max(int(np.searchsorted(np.cumsum(n[near]), k)) + 1, probes or 1)]] = True
-                order = np.argsort(d + radius, kind="stable")
-                place = int(np.searchsorted(np.cumsum(n[order]), k))
-                reach = (d + radius)[order[place]] if place < len(order) else np.inf
-                lower = np.maximum(0.0, d - radius)
-                keep = home if probes else home | (lower <= reach + _SLACK)
-                picks += [(i, cell[j], blocks[j], bool(home[j]), lower[j]) for j in np.flatnonzero(keep)]
-            rows = pd.DataFrame(picks, columns=["i", "cell", "blocks", "home", "lower"])
-            base = pdf.drop(columns="cells").iloc[rows["i"]].reset_index(drop=True)
-            yield base.assign(**{c: rows[c].to_numpy() for c in ("cell", "blocks", "home", "lower")})
-
-    asked = queries.join(known, "tenant_id").select("tenant_id", "query_id", "embedding", "cells")
-    routed = asked.mapInPandas(route, f"{_fields(queries, 'tenant_id', 'query_id', 'embedding')}, cell int, blocks int, home boolean, lower double")
-    group = F.get(F.array(*[F.lit(int(c)) for c in index.coarse]), F.col("cell"))
-    return routed.drop("embedding").withColumn("part", _part(group))
+    Queries are dealt in blocks of about ROUTED, and the cells of their tenant go to each block once, as plain columns."""
+    cells = cells.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    shared = queries.sparkSession.sparkContext.broadcast(index.pivots)
+    load = queries.groupBy("tenant_id").agg(F.ceil(F.count("*") / ROUTED).cast("int").alias("slots"))
+    mine = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.col("slots")).cast("int")
+    left = queries.join(load, "tenant_id").select("tenant_id", mine.alias("slot"), "query_id", "embedding")
+    every = F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot")
+    right = cells.join(load, "tenant_id").select("tenant_id", every, "cell", "n", "radius", "blocks")
+    names = ("tenant_id", "query_id", "cell", "blocks", "home", "lower")
+
+    def one(d: np.ndarray, n: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers of the cells to look into, which of them are at home, and their lower bounds."""
+        near = np.argsort(d, kind="stable")
+        home = np.zeros(len(d), bool)
+        home[near[: max(int(np.searchsorted(np.cumsum(n[near]), k)) + 1, probes or 1)]] = True
+        order = np.argsort(d + radius, kind="stable")
+        place = int(np.searchsorted(np.cumsum(n[order]), k))
+        reach = (d + radius)[order[place]] if place < len(order) else np.inf
+        lower = np.maximum(0.0, d - radius)
+        kept = np.flatnonzero(home if probes else home | (lower <= reach + _SLACK))
+        return kept, home[kept], lower[kept]
+
+    def route(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(c):
+            return pd.DataFrame({x: [] for x in names})
+        c = c.sort_values("cell")
+        cell, n, radius, blocks = (c[x].to_numpy() for x in ("cell", "n", "radius", "blocks"))
+        found = []
+        for at in range(0, len(q), ROUTED):  # the block of a query that is asked many times is longer
+            dist = _chords(_unit(q["embedding"].iloc[at : at + ROUTED]), shared.value[cell])
+            found += [one(d, n, radius) for d in dist]
+        kept, home, lower = (np.concatenate(x) for x in zip(*found, strict=True))
+        who = np.repeat(np.arange(len(q)), [len(x[0]) for x in found])
+        return q[["tenant_id", "query_id"]].iloc[who].reset_index(drop=True).assign(cell=cell[kept], blocks=blocks[kept], home=home, lower=lower)
+
+    group = ["tenant_id", "slot"]
+    shape = f"{_fields(queries, 'tenant_id', 'query_id')}, cell int, blocks int, home boolean, lower double"
+    routed = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(route, shape)
+    at = F.get(F.array(*[F.lit(int(c)) for c in index.coarse]), F.col("cell"))
+    return routed.withColumn("part", _part(at))
 
 
 def _top_k(query_ids, dist: np.ndarray, chunk_ids: np.ndarray, k: int) -> pd.DataFrame:
