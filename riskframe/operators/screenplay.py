@@ -191,20 +191,21 @@ def character_index(scenes_df: DataFrame, key: str = "script_id") -> DataFrame:
 
 def script_summary(scripts: DataFrame, scenes_df: DataFrame, key: str = "script_id") -> DataFrame:
     """Scenes, distinct characters and mean confidence (3 places, 0.0 without scenes)."""
-    by_scene = scenes_df.groupBy(key).agg(
-        F.count("*").alias("total_scenes"),
-        # Confidences are tenths: summed as integers the mean does not depend on row order.
-        F.sum(F.round(F.col("parse_confidence") * 10).cast("bigint")).alias("_tenths"),
-    )
-    by_name = (
-        scenes_df.select(key, F.explode("characters").alias("name"))
-        .distinct()
+    # One pass, as scenes are dear to make: a row for each name, or one for a scene without any.
+    cpos, name = F.col("cpos"), F.col("name")
+    once = cpos.isNull() | (cpos == 0)
+    by_script = (
+        scenes_df.select(key, "parse_confidence", F.posexplode_outer("characters").alias("cpos", "name"))
         .groupBy(key)
-        .agg(F.count("*").alias("total_characters"))
+        .agg(
+            F.count(F.when(once, 1)).alias("total_scenes"),
+            # Confidences are tenths: summed as integers the mean does not depend on row order.
+            F.sum(F.when(once, F.round(F.col("parse_confidence") * 10).cast("bigint"))).alias("_tenths"),
+            (F.count_distinct("name") + F.max((cpos.isNotNull() & name.isNull()).cast("int"))).alias("total_characters"),
+        )
     )
     return (
-        scripts.join(by_scene, key, "left")
-        .join(by_name, key, "left")
+        scripts.join(by_script, key, "left")
         .withColumn("overall_confidence", F.coalesce(F.round(F.col("_tenths") / F.lit(10.0) / F.col("total_scenes"), 3), F.lit(0.0)))
         .withColumn("total_scenes", F.coalesce("total_scenes", F.lit(0)))
         .withColumn("total_characters", F.coalesce("total_characters", F.lit(0)))
